@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +17,7 @@ U64 = np.uint64
 WORD_P, WINDOW_P = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 #: Bytes of text that a task hashes at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 NULL_ID = -(1 << 63)
 
 
@@ -31,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It acts when the driver collects garbage, which on a quiet driver comes long after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(total: int, each: int, least: int = 16) -> int:
     """Buckets so that each holds about `each` units; grows with the data without a limit."""
     return max(least, -(-int(total or 0) // each))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from . import topk
+from .ann import op2_ann
 from .ngram_jaccard import op7_ngram_jaccard
+from .packing import op6_packing
+from .substring_dedup import op5_substring_dedup
+from .topk import op1_topk
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_ann, op5_substring_dedup, op6_packing, op7_ngram_jaccard)}
+ORACLE_SQL: dict[str, str] = {**topk.ORACLE_SQL}

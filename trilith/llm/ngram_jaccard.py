@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, checkpointed, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, runs, total_chars, unplanes, window_hashes, with_key
+from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, checkpointed, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, release, runs, total_chars, unplanes, window_hashes, with_key
 from .components import connected_components
 
 #: Classes of a frequent shingle that one task compares with as many others.
 BLOCK_ROWS = 512
 #: Characters of text whose shingles make one range of hashes.
-RANGE_CHARS = 1 << 25
+RANGE_CHARS = 1 << 23
 #: Fewer bits than a word has: a chance equality can only keep a document for the exact count, within a pair it is negligible.
 HASH_BITS = 48
 
@@ -127,8 +127,18 @@ def _count(group: pa.Table) -> pa.Table:
 
 DOC = pa.schema([("key_id", pa.int64()), ("key_hash", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary())])
 DOC_DDL = "key_id long, key_hash long, n long, s1 long, s2 long, shared long, tokens binary"
-#: A token of a set: how many documents have it, and its hash; in the order of the join.
-TOKEN = np.dtype([("df", ">u4"), ("h", ">u8")])
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Hashes as HASH_BITS each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, HASH_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : HASH_BITS // 8] = raw
+    return out.view("<i8").ravel()
 
 
 def _assemble(percent: int):
@@ -154,12 +164,10 @@ def _assemble(percent: int):
         may = (shared * 100 >= percent * table[:, 2]) & (table[:, 2] > 0)
         some = may[doc]
         h, df, doc = h[some], df[some], doc[some]
-        order = np.lexsort((h, df, doc))
-        tokens = np.empty(len(h), TOKEN)
-        tokens["df"], tokens["h"] = df[order], h[order]
+        h = h[np.lexsort((h, df, doc))]
         cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(table)))])
-        packed = [tokens[cut[i] : cut[i + 1]].tobytes() if may[i] else None for i in range(len(table))]
-        return pa.Table.from_arrays([*(pa.array(table[:, i]) for i in range(5)), pa.array(shared.astype(np.int64)), pa.array(packed, pa.binary())], schema=DOC)
+        tokens = [packed(h[cut[i] : cut[i + 1]]) if may[i] else None for i in range(len(table))]
+        return pa.Table.from_arrays([*(pa.array(table[:, i]) for i in range(5)), pa.array(shared.astype(np.int64)), pa.array(tokens, pa.binary())], schema=DOC)
 
     return run
 
@@ -172,7 +180,7 @@ def _index(percent: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n = np.asarray(part.column("n"))
-                sets = [np.frombuffer(x, TOKEN)["h"].astype(np.int64) for x in part.column("tokens").to_pylist()]
+                sets = [unpacked(x) for x in part.column("tokens").to_pylist()]
                 alone = n - np.array([len(x) for x in sets], np.int64)
                 keep = np.maximum(0, n - (-(-percent * n // 100)) + 1 - alone)
                 sets = [x[:i] for x, i in zip(sets, keep)]
@@ -194,8 +202,8 @@ def _overlaps(percent: int):
             for i, (p, q) in enumerate(zip(batch.column("tx"), batch.column("ty"))):
                 p, q = p.as_buffer(), q.as_buffer()
                 if last != x[i]:
-                    last, a = x[i], np.frombuffer(p, TOKEN)["h"].astype(U64)
-                got[i] = len(np.intersect1d(a, np.frombuffer(q, TOKEN)["h"].astype(U64), assume_unique=True))
+                    last, a = x[i], unpacked(p)
+                got[i] = len(np.intersect1d(a, unpacked(q), assume_unique=True))
             link = 100 * got >= percent * (n - got)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(link)], names=["x", "y", "link"])
 
@@ -226,9 +234,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
     spark = docs.sparkSession
     keyed = with_key(docs).select("key_id", "key_hash", "text")
     ranges = partitions_for(total_chars(docs), range_chars)
-    dealt = keyed.mapInArrow(_deal(k, ranges), BLOCK_DDL)
-    counted = dealt.groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
-    rows = checkpointed(counted.groupBy("chunk").applyInArrow(_assemble(percent), DOC_DDL))
+    rows = checkpointed(keyed.mapInArrow(_deal(k, ranges), BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL).groupBy("chunk").applyInArrow(_assemble(percent), DOC_DDL))
+    release(spark)
 
     may = rows.where("tokens IS NOT NULL")
     classes = checkpointed(may.groupBy("n", "s1", "s2").agg(F.min(F.struct("key_id", "key_hash")).alias("least"), F.first("tokens").alias("tokens")).withColumn("class", F.xxhash64("n", "s1", "s2")).select("class", "n", "s1", "s2", F.col("least.key_id").alias("least_id"), "tokens"))
@@ -239,6 +246,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
     # a star: each class against one leader, the least damaged class that shares an indexed shingle with it
     star = index.selectExpr("class AS x", "named_struct('r', lead.r, 'c', lead.class) AS lead", f"lead.class <> class AND {_bound(percent).replace('a.', 'lead.').replace('b.', '')} AS fits").where("fits")
     star = _compared(star.groupBy("x").agg(F.min("lead").alias("lead")).select("x", F.col("lead.c").alias("y")), classes, percent)
+    release(spark)
     lead = star.where("link").select(F.col("x").alias("class"), F.col("y").alias("to"))
     up = lead.select(F.col("class").alias("to"), F.col("to").alias("top"))
     for _ in range(2):

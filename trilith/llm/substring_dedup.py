@@ -4,7 +4,7 @@ Edges are windows of `length` consecutive words, nodes their (length - 1)-word o
 
 1. Seeds: of every window the least hashed `seed`-word mer is its seed; equal windows have equal seeds, and there are
    few seeds. Seeds are counted over the corpus; a window whose seed stands once is not repeated.
-2. Edges: the windows left are counted by two 64-bit hashes. Each repeated edge also learns whether all its places
+2. Edges: the windows left are counted by 96 bits of hashes. Each repeated edge also learns whether all its places
    agree on the word before it and the word after it, that is, whether the path forks there.
 3. Compaction: along the coordinates of a document, repeated edges that follow one another without a fork are one
    path; the paths come back to the documents through a join, and the words under them go.
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_DDL, U64, Words, blocks, bucket_bounds, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, total_chars, unplanes, window_hashes, with_key
+from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, total_chars, unplanes, window_hashes, with_key
 
 RANGE_CHARS = 1 << 23
 #: Entries of the exchange: hash, second hash, word before, word after.
-EDGE = np.dtype([("h", "u8"), ("check", "u8"), ("before", "u4"), ("after", "u4")])
+EDGE = np.dtype([("h", "u8"), ("check", "u4"), ("before", "u2"), ("after", "u2")])
 #: Stands for words that differ from place to place.
-FORK = np.uint32(0xFFFFFFFF)
+FORK = np.uint16(0xFFFF)
 FORKS_BEFORE, FORKS_AFTER = 1, 2
 
 
@@ -68,8 +68,8 @@ def _pack(keys: np.ndarray, words: Words, edge: np.ndarray, ref: np.ndarray, ran
     me = chunk_id(keys)
     table = np.concatenate([keys, words.first[:, None], words.count[:, None]], axis=1)
     local = ~alone
-    out = [(-1 - (me & 0x7FFFFFFF), me, 2, table.tobytes(), planes(edge["h"][local]), planes(edge["check"][local]), ref[local].tobytes())]
     several, n_several = edge[at[count > 1]].copy(), count[count > 1].astype(np.uint32)
+    out = [(-1 - (me & 0x7FFFFFFF), me, 2, table.tobytes(), n_several.tobytes(), ref[local].tobytes())]
     if len(several):
         for side in ("before", "after"):
             low, high = np.minimum.reduceat(edge[side], at)[count > 1], np.maximum.reduceat(edge[side], at)[count > 1]
@@ -108,9 +108,9 @@ def _deal_edges(length: int, seed: int, ranges: int):
             ref = starts[known[place]]
             edge = np.zeros(len(ref), EDGE)
             edge["h"] = window_hashes(words.hash, length)[ref]
-            edge["check"] = window_hashes(mix(words.hash ^ U64(0x2545F4914F6CDD1D)), length)[ref]
+            edge["check"] = window_hashes(mix(words.hash ^ U64(0x2545F4914F6CDD1D)), length)[ref] >> U64(32)
             # the words around a window; 0 is the edge of a document
-            around = np.concatenate([[0], (words.hash >> U64(33)).astype(np.uint32) + 1, [0]]).astype(np.uint32)
+            around = np.concatenate([[0], 1 + words.hash % U64(0xFFFE), [0]]).astype(np.uint16)
             doc = np.concatenate([[-1], words.doc, [-1]])
             mine = words.doc[ref]
             edge["before"] = np.where(doc[ref] == mine, around[ref], 0)
@@ -128,8 +128,8 @@ def _count(group: pa.Table) -> pa.Table:
     sizes = [len(r["a"]) // 8 for r in rows]
     edge = np.zeros(sum(sizes), EDGE)
     edge["h"] = np.concatenate([unplanes(r["a"], U64) for r in rows])
-    edge["check"] = np.concatenate([unplanes(r["b"], U64) for r in rows])
-    around = np.concatenate([np.frombuffer(r["c"], np.uint32).reshape(2, -1) for r in rows], axis=1)
+    edge["check"] = np.concatenate([unplanes(r["b"], np.uint32) for r in rows])
+    around = np.concatenate([np.frombuffer(r["c"], np.uint16).reshape(2, -1) for r in rows], axis=1)
     n = np.concatenate([np.ones(s, np.int64) if r["kind"] == 0 else np.frombuffer(r["d"], np.uint32) for s, r in zip(sizes, rows)])
     order = np.lexsort((edge["check"], edge["h"]))
     new = np.ones(len(edge), bool)
@@ -150,7 +150,7 @@ def _count(group: pa.Table) -> pa.Table:
         if some.any() and r["kind"] == 0:
             out.append((0, r["chunk"], 0, None, None, f[some].tobytes(), np.frombuffer(r["d"], np.uint32)[some].tobytes()))
         elif some.any():
-            out.append((0, r["chunk"], 1, planes(np.ascontiguousarray(edge["h"][start : start + size])), planes(np.ascontiguousarray(edge["check"][start : start + size])), f.tobytes()))
+            out.append((r["bucket"], r["chunk"], 1, None, None, f.tobytes()))
         start += size
     return pa.Table.from_batches([blocks(out)])
 
@@ -166,16 +166,11 @@ def _places(group: pa.Table) -> pa.Table:
     if me is None:
         raise ValueError("a chunk came without its documents: the input has to give the same rows in the same order each time it is read; checkpoint it first")
     table = np.frombuffer(me["a"], np.int64).reshape(-1, 4)
-    own, check, who = unplanes(me["b"], U64), unplanes(me["c"], U64), np.frombuffer(me["d"], np.uint32)
-    single, known = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
-    own_flags = np.zeros(0, np.uint8)
-    if len(own):
-        kh, kc, kf = (np.concatenate(x) for x in zip(*((unplanes(r["a"], U64), unplanes(r["b"], U64), np.frombuffer(r["c"], np.uint8)) for r in known)))
-        # the chunk's own entries are sorted as these are, and each has its counterpart
-        order = np.lexsort((kc, kh))
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (check[1:] != check[:-1])
-        own_flags = kf[order][np.cumsum(new) - 1]
+    count, who = np.frombuffer(me["b"], np.uint32), np.frombuffer(me["c"], np.uint32)
+    single = [r for r in rows if r["kind"] == 0]
+    # flags return by range in the order of the hashes, as the chunk has its places
+    known = b"".join(r["c"] for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"]))
+    own_flags = np.repeat(np.frombuffer(known, np.uint8), count)
     ref = np.concatenate([who, *(np.frombuffer(r["d"], np.uint32) for r in single)]).astype(np.int64)
     flags = np.concatenate([own_flags, *(np.frombuffer(r["c"], np.uint8) for r in single)])
     order = np.argsort(ref)
@@ -198,7 +193,7 @@ def compacted(places: bytes, forks: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def _kept(length: int, with_text: bool):
+def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             out = []
@@ -215,47 +210,52 @@ def _kept(length: int, with_text: bool):
                     if removed:
                         words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                out.append((n, removed, hashlib.sha256(kept).hexdigest(), (text if not removed else kept).decode() if with_text else None))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.string()), part.column("key_id"), part.column("key_hash")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "key_id", "key_hash"])
+                out.append((kept if removed else text, n, removed, hashlib.sha256(kept).hexdigest()))
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))]
+            carried = [c for c in part.schema.names if c not in ("text", "places", "forks")]
+            yield pa.RecordBatch.from_arrays([*map(part.column, carried), cols[0].cast(pa.string()), *cols[1:]], names=[*carried, "text", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def _repeated(docs: DataFrame, length: int, seed: int | None, range_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(documents dealt out by key, places of repeated edges by key)."""
+def _repeated(docs: DataFrame, length: int, seed: int | None, range_chars: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents dealt out by key, with the columns to carry; places of repeated edges by key)."""
     seed = seed or max(1, length * 4 // 7)
     ranges = partitions_for(total_chars(docs), range_chars)
-    keyed = with_key(docs)
+    keyed = with_key(docs.select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(F.struct(*carry).alias("_carried"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(text).alias("key_hash"), text.alias("text"))
     # both joins below read the texts from this one exchange
-    dealt = keyed.repartition(ranges, "key_id", "key_hash")
+    dealt = whole.repartition(ranges, "key_id", "key_hash")
 
     def exchange(frame: DataFrame, deal) -> DataFrame:
         found = frame.mapInArrow(deal(length, seed, ranges), BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
         return found.groupBy("chunk").applyInArrow(_places, PLACES_DDL).dropDuplicates(["key_id", "key_hash"])
 
     seeds = exchange(keyed.select("key_id", "key_hash", "text"), _deal_seeds)
-    seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "text")
+    seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("_carried", "key_id", "key_hash", "places", "text")  # the same columns as below, or the exchange would not be shared
     return dealt, exchange(seeded, _deal_edges)
 
 
-def drop_repeats(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS, with_text: bool = False) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_words, n_removed, kept_sha256, kept_text: one row per row of docs.
+def drop_repeats(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """docs(doc_id, text, ...) -> the same columns, n_words, n_removed, kept_sha256: one row per row of docs.
 
-    Words are `[^\\\\x20\\\\x09-\\\\x0D]+`, unchanged. Every word under a window of `length` words whose word sequence
-    starts anywhere else goes; the words kept are joined by one space for the digest. kept_text (with_text) is the
-    text itself where nothing goes. A null text counts as empty; a text of fewer words than `length` keeps all; rows
-    that repeat a doc_id, with equal texts or others, are documents of their own; a null doc_id stays null; other
-    columns are ignored; an empty table gives an empty result.
+    Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Every word under a window of `length` words whose word sequence
+    starts anywhere else goes; the words kept are joined by one space, for the digest and, where any went, as the new
+    text. A null text counts as empty; a text of fewer words than `length` keeps all; rows that repeat a doc_id, with
+    equal texts or others, are documents of their own; a null doc_id stays null; other columns stay (those named as
+    the new ones are replaced); an empty table gives an empty result.
 
     docs has to give the same rows in the same order each time it is read (files or a checkpoint).
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    dealt, edges = _repeated(docs, length, seed, range_chars)
-    joined = dealt.join(edges, ["key_id", "key_hash"], "left").select("doc_id", "key_id", "key_hash", "places", "forks", "text")
-    kept = joined.mapInArrow(_kept(length, with_text), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string, key_id long, key_hash long")
-    return kept
+    carry = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
+    dealt, edges = _repeated(docs, length, seed, range_chars, carry)
+    joined = dealt.join(edges, ["key_id", "key_hash"], "left").select("_carried", "places", "forks", "text")
+    ddl = f"_carried {dealt.schema['_carried'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_sha256 string"
+    kept = joined.mapInArrow(_kept(length), ddl)
+    return kept.select(*("text" if c == "text" else F.col("_carried")[c].alias(c) for c in docs.columns if c in carry or c == "text"), "n_words", "n_removed", "kept_sha256")
 
 
 def _path_rows(length: int):
@@ -275,8 +275,8 @@ def _path_rows(length: int):
 
 def repeated_paths(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
     """The compacted paths and their coordinates: path (sha256 of its words), n_words, doc_id, start, places (of the path)."""
-    dealt, edges = _repeated(docs, length, seed, range_chars)
-    spans = dealt.join(edges, ["key_id", "key_hash"]).select("doc_id", "places", "forks", "text").mapInArrow(_path_rows(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, n_words long, start long")
+    dealt, edges = _repeated(docs, length, seed, range_chars, ["doc_id"])
+    spans = dealt.join(edges, ["key_id", "key_hash"]).select(F.col("_carried.doc_id").alias("doc_id"), "places", "forks", "text").mapInArrow(_path_rows(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, n_words long, start long")
     return spans.join(spans.groupBy("path").agg(F.count("*").alias("places")), "path")
 
 

@@ -30,9 +30,10 @@ def offsets(sizes: Column) -> Column:
 MATCHES = "array<struct<start:bigint,end:bigint,hit:string,i:int>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """The leftmost non-overlapping matches, none empty: start and end (exclusive) in code points, and the text."""
-    both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("h"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, pattern, 0).alias("h"))
 
     def placed(s: Column) -> Column:
         sizes = F.zip_with(s["g"], s["h"], lambda g, h: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(h), F.lit(0)))

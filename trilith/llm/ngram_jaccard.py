@@ -222,7 +222,7 @@ def _bound(percent: int) -> str:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, n_links_known: one row per row of docs.
+    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, key_hash (of the text): one row per row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A text of fewer than k words is one shingle; a null,
     empty or blank text has none and links with nothing. component_id is the smallest doc_id that links reach. Rows
@@ -267,11 +267,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
     least = member.groupBy("group").agg(F.min("least_id").alias("component_id"))
     member = checkpointed(member.join(least, "group").select("n", "s1", "s2", "component_id"))
     # the smallest copy of a class is in member, so only documents that may link look there
-    linked = may.select("key_id", "n", "s1", "s2").join(member, ["n", "s1", "s2"]).select("key_id", "n", "component_id")
-    single = rows.where("tokens IS NULL").select("key_id", "n", F.col("key_id").alias("component_id"))
+    linked = may.select("key_id", "key_hash", "n", "s1", "s2").join(member, ["n", "s1", "s2"]).select("key_id", "key_hash", "n", "component_id")
+    single = rows.where("tokens IS NULL").select("key_id", "key_hash", "n", F.col("key_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return single.union(linked).select(null("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"))
+    return single.union(linked).select(null("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"), "key_hash")
+
+
+#: Rows to drop that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one of the smallest doc_id; all columns stay.
+
+    Rows that repeat a doc_id with the same text are one document and stay or go together; of rows that repeat it with
+    other texts in the same component the one of the smallest text hash stays.
+    """
+    rows = checkpointed(jaccard_components(docs, k, percent).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "key_hash", F.coalesce("component_id", F.lit(NULL_ID)).alias("component_id")))
+    release(docs.sparkSession)
+    # only the documents of its smallest id can represent a component
+    stays = rows.where("key_id = component_id").groupBy("component_id").agg(F.min("key_hash").alias("stays"))
+    joined = rows.join(stays, "component_id").where("key_id <> component_id OR key_hash <> stays").select("key_id", "key_hash").distinct()
+    goes = checkpointed(joined)
+    goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
+    keyed = docs.withColumns({"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(goes, (F.col("_key_id") == goes["key_id"]) & (F.col("_key_hash") == goes["key_hash"]), "left_anti").select(*docs.columns)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -136,7 +136,7 @@ def _graded(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for part, texts in chunks(batches):
-            doc, slot = features(texts, bits)
+            doc, slot = features([t or b"" for t in texts], bits)
             tails = model.tails(doc, slot, len(texts))
             best = tails[:, -1] if tails.shape[1] else np.ones(len(texts))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(best)], names=[*part.schema.names, "expected_grade", "p_best"])
@@ -166,3 +166,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, ratings_of(read(spark, sf_dir, "labels")))
     return grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "p_best", (F.col("p_best") >= KEEP_FROM).alias("keep"))
+
+
+def drop_rejected(docs: DataFrame, ratings: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """docs whose probability of the best grade is keep_from at least; all columns stay. Without ratings all stay."""
+    return grade(docs, train(docs, ratings)).where(F.col("p_best") >= keep_from).select(*docs.columns)

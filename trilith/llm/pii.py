@@ -28,8 +28,6 @@ PATTERNS = {
 DISCLOSURE, EVIDENCE = 0.8, 3
 #: Terms before and after an entity that count as its surroundings, on its line and within so many characters.
 NEAR, REACH = 3, 64
-#: Candidate terms up to this number are broadcast; more are joined after counting.
-BROADCAST_TERMS = 100_000
 
 
 def _digits(hit: Column) -> Column:
@@ -111,13 +109,9 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDEN
     near = seen.select("key_id", "key_hash", "entity", F.explode("near").alias("m")).select("key_id", "key_hash", "entity", F.col("m.term").alias("term"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).distinct()
     together = near.select("key_id", "key_hash", "entity", "term").distinct().groupBy("entity", "term", "key_hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts")).where(F.col("texts") >= evidence)
     together = checkpointed(together)
-    terms = together.select("term").distinct()
-    n_terms = terms.count()
-    if n_terms:
-        words = keyed.select(F.explode(_terms(F.col("text"))).alias("term"))
-        if n_terms <= BROADCAST_TERMS:
-            words = words.join(F.broadcast(terms), "term", "left_semi")
-        df_term = words.groupBy("term").agg(F.count("*").alias("df_term"))
+    if not together.isEmpty():
+        # counted by every task before anything is shuffled: a join first would pass on each place of each common term
+        df_term = keyed.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
         scored = together.join(df_term, "term").join(df_entity, "entity")
         ic = F.log2(F.lit(float(n_docs)) / F.col("df_entity"))
         pmi = F.log2(F.col("c") * F.lit(float(n_docs)) / (F.col("df_term") * F.col("df_entity")))

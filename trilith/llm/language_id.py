@@ -60,20 +60,25 @@ class Model:
         return (rows.astype(np.float32) @ self.weights) / np.sqrt(np.maximum(1, rows.sum(axis=1)))[:, None]
 
 
-def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on the Nyström map of presence rows, one language against the rest."""
+def _unit(bits: np.ndarray, width: int) -> np.ndarray:
+    rows = np.unpackbits(bits, axis=1, count=width)
+    return rows / np.sqrt(np.maximum(1, rows.sum(axis=1, dtype=np.float32)))[:, None]
+
+
+def fit(bits: np.ndarray, labels: list[str], width: int = WIDTH, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on the Nyström map of packed presence rows, one language against the rest."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((rows.shape[1], 0), np.float32))
-    x = rows.astype(np.float32) / np.sqrt(np.maximum(1, rows.sum(axis=1)))[:, None]
-    pick = np.sort(np.random.default_rng(7).permutation(len(x))[:landmarks])
-    z = x[pick]
+        return Model([], np.zeros((width, 0), np.float32))
+    pick = np.sort(np.random.default_rng(7).permutation(len(bits))[:landmarks])
+    z = _unit(bits[pick], width).astype(np.float32)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     ok = values > 1e-6 * values[-1]
     root = vectors[:, ok] / np.sqrt(values[ok])
-    phi = (x @ z.T) @ root
+    kernel = np.concatenate([_unit(bits[at : at + 64], width).astype(np.float32) @ z.T for at in range(0, len(bits), 64)])
+    phi = kernel @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    w = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ target)
+    w = np.linalg.solve(phi.T @ phi + ridge * len(bits) * np.eye(phi.shape[1]), phi.T @ target)
     return Model(languages, (z.T @ (root @ w)).astype(np.float32))
 
 
@@ -96,15 +101,15 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, width: int = WIDTH, s
     labelled = labelled.where("lang IS NOT NULL")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return fit(np.zeros((0, width), bool), [])
+        return fit(np.zeros((0, width // 8), np.uint8), [], width)
     each = max_train / len(counts)
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))))
     point = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(point < F.try_element_at(share, F.col("lang"))).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     got = sample.mapInArrow(_rows(width, spectrum), "lang string, bits binary").limit(2 * max_train).collect()
     got.sort(key=lambda r: (r["lang"], r["bits"]))  # arrival order must not matter
-    rows = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1, count=width).astype(bool) if got else np.zeros((0, width), bool)
-    return fit(rows, [r["lang"] for r in got])
+    bits = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), width // 8)
+    return fit(bits, [r["lang"] for r in got], width)
 
 
 def _predict(shared, width: int, spectrum: int):

@@ -128,3 +128,20 @@ def nearest(indexed: DataFrame, queries: DataFrame, k: int = 20, bits: int = BIT
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = index(read(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+#: Exact search; what the bounds choose contains it at the sizes that SQL is run on.
+ORACLE_SQL = {
+    "op2_ann": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.w, c.w) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+}

@@ -20,10 +20,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("y", "x"))
         parent = both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("p")).withColumn("p", F.least("c", "p"))
-        for _ in range(2):  # parents of parents
-            up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-        parent = checkpointed(parent)
+        while True:  # parents of parents, twice as far each time, up to the roots
+            for _ in range(2):
+                up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+                parent = parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("pp") < F.col("p")).alias("moved"))
+            parent = checkpointed(parent)
+            if parent.where("moved").isEmpty():
+                break
+        parent = parent.drop("moved")
         if first:
             labels, first = parent.select(F.col("c").alias("node"), F.col("p").alias("component")), False
         else:

@@ -222,12 +222,13 @@ def _bound(percent: int) -> str:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, key_hash (of the text): one row per row of docs.
+    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, key_hash (of the text), group: one row per row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A text of fewer than k words is one shingle; a null,
     empty or blank text has none and links with nothing. component_id is the smallest doc_id that links reach. Rows
     that repeat a doc_id are documents of their own; a null doc_id counts as the smallest number, and a component of
-    it has a null id. Other columns are ignored. An empty table gives an empty result.
+    it has a null id. group tells components apart where doc_ids repeat, and is null for a document that can't link.
+    Other columns are ignored. An empty table gives an empty result.
 
     docs has to give the same rows in the same order each time it is read (files or a checkpoint).
     """
@@ -265,12 +266,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
     group = connected_components(links)
     member = classes.join(group, classes["class"] == group.node, "left").select("n", "s1", "s2", "least_id", F.coalesce("component", "class").alias("group"))
     least = member.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    member = checkpointed(member.join(least, "group").select("n", "s1", "s2", "component_id"))
+    member = checkpointed(member.join(least, "group").select("n", "s1", "s2", "component_id", "group"))
     # the smallest copy of a class is in member, so only documents that may link look there
-    linked = may.select("key_id", "key_hash", "n", "s1", "s2").join(member, ["n", "s1", "s2"]).select("key_id", "key_hash", "n", "component_id")
-    single = rows.where("tokens IS NULL").select("key_id", "key_hash", "n", F.col("key_id").alias("component_id"))
+    linked = may.select("key_id", "key_hash", "n", "s1", "s2").join(member, ["n", "s1", "s2"]).select("key_id", "key_hash", "n", "component_id", "group")
+    single = rows.where("tokens IS NULL").select("key_id", "key_hash", "n", F.col("key_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return single.union(linked).select(null("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"), "key_hash")
+    return single.union(linked).select(null("key_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"), "key_hash", "group")
 
 
 #: Rows to drop that are broadcast; more are joined by a shuffle.
@@ -283,11 +284,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Rows that repeat a doc_id with the same text are one document and stay or go together; of rows that repeat it with
     other texts in the same component the one of the smallest text hash stays.
     """
-    rows = checkpointed(jaccard_components(docs, k, percent).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "key_hash", F.coalesce("component_id", F.lit(NULL_ID)).alias("component_id")))
+    rows = checkpointed(jaccard_components(docs, k, percent).where("group IS NOT NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "key_hash", "group"))
     release(docs.sparkSession)
-    # only the documents of its smallest id can represent a component
-    stays = rows.where("key_id = component_id").groupBy("component_id").agg(F.min("key_hash").alias("stays"))
-    joined = rows.join(stays, "component_id").where("key_id <> component_id OR key_hash <> stays").select("key_id", "key_hash").distinct()
+    stays = rows.groupBy("group").agg(F.min(F.struct("key_id", "key_hash")).alias("stays"))
+    joined = rows.join(stays, "group").where(F.struct("key_id", "key_hash") != F.col("stays")).select("key_id", "key_hash").distinct()
     goes = checkpointed(joined)
     goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
     keyed = docs.withColumns({"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
@@ -296,3 +296,24 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = {
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.y)::BIGINT AS component_id
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+}

@@ -50,7 +50,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     else:
         some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    return some[np.lexsort((-ids[some], scores[some]))[::-1][:k]]
 
 
 def merged(lists: DataFrame, k: int, n_shards: int) -> DataFrame:
@@ -71,7 +71,8 @@ def _exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         return q @ v.T
     whole = lambda a: np.array([[int(x) for x in row] for row in a], dtype=object)
     a, b = whole(q), whole(v)
-    return reduce(lambda s, j: s + np.multiply.outer(a[:, j], b[:, j]), range(q.shape[1]), np.zeros((len(q), len(v)), dtype=object))
+    total = reduce(lambda s, j: s + np.multiply.outer(a[:, j], b[:, j]), range(q.shape[1]), np.zeros((len(q), len(v)), dtype=object))
+    return np.clip(total, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _cell(k: int):
@@ -87,8 +88,8 @@ def _cell(k: int):
                 own = ids != qids[at + i]
                 some = np.flatnonzero(own) if not own.all() else None
                 s, d = (row, ids) if some is None else (row[some], ids[some])
-                top = best(s, d, k) if row.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], d[j]))[:k], np.int64)
-                out.append((np.full(len(top), qids[at + i]), d[top], np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in s[top]], np.int64)))
+                top = best(s, d, k)
+                out.append((np.full(len(top), qids[at + i]), d[top], s[top].astype(np.int64)))
         if not out:
             return empty
         query, vec, score = (np.concatenate(c) for c in zip(*out))

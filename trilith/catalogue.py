@@ -5,6 +5,171 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .engine import Engine
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str, graph: bool = False) -> Engine:
+    e = Engine(spark).register_tables(sf_dir, TABLES)
+    if graph:
+        e.register_graph("shop", *shop(spark, sf_dir))
+    return e
+
+
+def shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers and suppliers as nodes; what lies in what as edges, and neighbours among nations."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
+    def nodes(t: str, p: str, label: str, *extra: str) -> DataFrame:
+        names = ("balance",)
+        have = [F.col(x).alias(n) for x, n in zip(extra, names)] + [F.lit(None).cast("double").alias(n) for n in names[len(extra) :]]
+        return read(t).select(F.concat(F.lit(p), F.col(f"{p}_{t}key" if t in ("region", "nation") else f"{p}_{'cust' if p == 'c' else 'supp'}key").cast("string")).alias("id"), F.array(F.lit(label)).alias("labels"), F.col(f"{p}_name").alias("name"), *have)
+
+    n = nodes("region", "r", "Region").union(nodes("nation", "n", "Nation")).union(nodes("customer", "c", "Customer", "c_acctbal")).union(nodes("supplier", "s", "Supplier", "s_acctbal"))
+
+    def edges(t: str, a: str, b: str, p: str, q: str, kind: str) -> DataFrame:
+        src, dst = F.concat(F.lit(p), F.col(a).cast("string")), F.concat(F.lit(q), F.col(b).cast("string"))
+        return read(t).select(F.concat_ws("-", F.lit(kind), src, dst).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+
+    nation = read("nation").withColumn("next", F.col("n_nationkey") + 1).where("n_nationkey < 24")
+    near = nation.select(F.concat_ws("-", F.lit("NEXT"), "n_nationkey").alias("id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("next").cast("string")).alias("dst"), F.lit("NEXT").alias("type"))
+    e = edges("nation", "n_nationkey", "n_regionkey", "n", "r", "IN").union(edges("customer", "c_custkey", "c_nationkey", "c", "n", "IN")).union(edges("supplier", "s_suppkey", "s_nationkey", "s", "n", "IN")).union(near)
+    return n, e
+
+
+def sql(name: str, text: str, oracle: str | None = None, **params: object) -> None:
+    """Registers a query in the dialect; where DuckDB reads the same text it is its own check."""
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir).query(text, params=params)
+    ORACLE_SQL[name] = oracle or text
+
+
+def cypher(name: str, text: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, True).query(text, "cypher")
+    ORACLE_SQL[name] = oracle
+
+
+# scans, projections, predicates
+sql("scan_project", "SELECT c_custkey AS k, c_name AS n, c_acctbal * 2 AS b FROM customer")
+sql("filter_3vl", "SELECT c_custkey AS k FROM customer WHERE NOT (nullif(c_nationkey, 3) = 5 AND c_acctbal > 0) OR nullif(c_nationkey, 3) IS NULL")
+sql("between_in_like", "SELECT p_partkey AS k, p_name AS n FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type IN ('PROMO', 'SMALL') AND p_brand LIKE 'Brand#1%'")
+sql("not_like_ilike", "SELECT p_partkey AS k FROM part WHERE p_brand NOT LIKE '%2' AND p_type ILIKE '%eco%'")
+sql("is_distinct_from", "SELECT c_custkey AS k FROM customer WHERE nullif(c_nationkey, 3) IS DISTINCT FROM 4 AND (c_acctbal > 0) IS NOT FALSE")
+sql("null_source", "SELECT 1 + 2 AS a, 'x' || 'y' AS b")
+sql("arithmetic", "SELECT o_orderkey AS k, o_orderkey // 7 AS q, o_orderkey % 7 AS r, o_orderkey / 0 AS z, 2 ^ 3 AS p FROM orders", "SELECT o_orderkey AS k, (o_orderkey // 7)::BIGINT AS q, o_orderkey % 7 AS r, NULL::DOUBLE AS z, 8.0::DOUBLE AS p FROM orders")
+sql("values_clause", "SELECT v.a AS a, v.b AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS v(a, b)")
+sql("params", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = :seg AND c_acctbal > ?low", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000", seg="BUILDING", low=1000)
+sql("statements", "SELECT 1 AS a; SELECT n_name AS n FROM nation", "SELECT n_name AS n FROM nation")
+# joins
+sql("inner_comma_join", "SELECT c.c_custkey AS k, n.n_name AS n FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey")
+sql("left_join_on_extra", "SELECT c.c_custkey AS k, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000 GROUP BY c.c_custkey")
+sql("right_join", "SELECT o.o_orderkey AS o, c.c_custkey AS c FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT'")
+sql("full_join_theta", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a FULL OUTER JOIN region b ON a.n_regionkey = b.r_regionkey AND a.n_nationkey > b.r_regionkey * 7")
+sql("using_join", "SELECT k AS k, a.x AS x, b.y AS y FROM (SELECT n_regionkey AS k, n_name AS x FROM nation) a JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b USING (k)")
+sql("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+sql("cross_join", "SELECT r.r_name AS a, q.r_name AS b FROM region r, region q")
+sql("lateral_topk", "SELECT c.c_custkey AS k, t.o AS o FROM customer c JOIN LATERAL (SELECT max(o_orderkey) AS o FROM orders WHERE o_custkey = c.c_custkey) t ON TRUE", "SELECT c_custkey AS k, max(o_orderkey) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+sql("left_lateral", "SELECT n.n_name AS n, t.s AS s FROM nation n LEFT JOIN LATERAL (SELECT s_suppkey AS s FROM supplier WHERE s_nationkey = n.n_nationkey AND s_acctbal > 5000) t ON TRUE", "SELECT n_name AS n, s_suppkey AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+sql("semi_exists", "SELECT c.c_custkey AS k FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+sql("anti_not_exists", "SELECT c.c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+sql("in_subquery", "SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sql("not_in_null", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+sql("quant_any", "SELECT p_partkey AS k FROM part WHERE p_size = ANY (SELECT n_nationkey FROM nation)")
+sql("quant_all_gt", "SELECT p_partkey AS k FROM part WHERE p_size > ALL (SELECT n_nationkey FROM nation)")
+sql("quant_all_empty", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey > ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 100)")
+sql("quant_any_ne", "SELECT p_partkey AS k FROM part WHERE p_size <> SOME (SELECT r_regionkey FROM region) AND p_size < ANY (SELECT n_nationkey FROM nation)")
+sql("scalar_corr", "SELECT l.l_partkey AS k, round(sum(l.l_extendedprice) / 7, 2) AS s FROM lineitem l WHERE l.l_quantity < (SELECT 0.5 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey) GROUP BY l.l_partkey")
+sql("scalar_uncorr_having", "SELECT l_suppkey AS k, sum((l_extendedprice)::decimal(22,6))::double AS s FROM lineitem GROUP BY l_suppkey HAVING sum(l_extendedprice) > (SELECT sum(l_extendedprice) * 0.012 FROM lineitem)")
+# aggregation
+sql("group_basic", "SELECT l_returnflag AS f, count(*) AS n, sum((l_quantity)::decimal(22,6))::double AS q, round(avg(l_discount), 6) AS d, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag")
+sql("having", "SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 50 AND max(c_acctbal) > 9000")
+sql("count_distinct", "SELECT l_returnflag AS f, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag")
+sql("filter_agg", "SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, max(o_totalprice) FILTER (WHERE o_orderstatus <> 'F') AS m FROM orders GROUP BY o_custkey")
+sql("agg_over_empty", "SELECT count(*) AS n, sum(n_nationkey) AS s, avg(n_nationkey) AS a FROM nation WHERE n_nationkey > 1000", "SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS s, avg(n_nationkey) AS a FROM nation WHERE n_nationkey > 1000")
+sql("group_as_distinct", "SELECT c_nationkey AS k, c_mktsegment AS m FROM customer GROUP BY c_nationkey, c_mktsegment")
+sql("hidden_aggregate_order", "SELECT c_nationkey AS k FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, c_nationkey LIMIT 10")
+sql("collect_ordered", "SELECT n_regionkey AS k, array_join(collect(n_name ORDER BY n_name DESC), ',') AS ns FROM nation GROUP BY n_regionkey", "SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name DESC) AS ns FROM nation GROUP BY 1")
+sql("collect_nulls", "SELECT n_regionkey AS k, array_join(collect(nullif(n_nationkey, 3) ORDER BY n_nationkey), ',', '-') AS ns FROM nation GROUP BY n_regionkey", "SELECT n_regionkey AS k, string_agg(coalesce(nullif(n_nationkey, 3)::VARCHAR, '-'), ',' ORDER BY n_nationkey) AS ns FROM nation GROUP BY 1")
+sql("rollup", "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+# order, distinct, limit
+sql("distinct_all", "SELECT DISTINCT p_type AS t, p_brand AS b FROM part")
+sql("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey AS c, o_orderkey AS o FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+sql("topk", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+sql("offset_limit", "SELECT p_partkey AS k FROM part ORDER BY p_size, p_partkey LIMIT 15 OFFSET 30")
+sql("order_nulls", "SELECT n_nationkey AS k FROM nation ORDER BY nullif(n_regionkey, 2), n_nationkey LIMIT 22", "SELECT n_nationkey AS k FROM nation ORDER BY nullif(n_regionkey, 2) NULLS LAST, n_nationkey LIMIT 22")
+sql("order_nulls_desc", "SELECT n_nationkey AS k FROM nation ORDER BY nullif(n_regionkey, 2) DESC, n_nationkey LIMIT 7", "SELECT n_nationkey AS k FROM nation ORDER BY nullif(n_regionkey, 2) DESC NULLS FIRST, n_nationkey LIMIT 7")
+# sets
+for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
+    sql(_name, f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey AS k FROM supplier")
+sql("set_order", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey AS k FROM region ORDER BY k LIMIT 9")
+# common table expressions
+sql("cte_inline", "WITH t AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT a.k AS k, a.n AS n FROM t a JOIN t b ON a.n = b.n AND a.k <> b.k")
+sql("cte_materialized", "WITH r(k, v) AS MATERIALIZED (SELECT l_suppkey, sum(l_quantity) FROM lineitem GROUP BY l_suppkey) SELECT k AS k, v AS v FROM r WHERE v = (SELECT max(v) FROM r)")
+sql("recursive_cte_all", "WITH RECURSIVE t(n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM t WHERE n < 50) SELECT n AS n, s AS s FROM t")
+sql("recursive_cte_distinct", "WITH RECURSIVE t(a) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 3 UNION SELECT (a * 7 + 2) % 25 FROM t) SELECT a AS a FROM t")
+# values
+sql("case_expr", "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'big' END AS s, CASE p_type WHEN 'PROMO' THEN 1 ELSE 0 END AS p FROM part")
+sql("cast_try", "SELECT p_partkey AS k, p_brand::number AS b, p_size::text AS s, CAST(p_size AS number) AS d FROM part", "SELECT p_partkey AS k, TRY_CAST(p_brand AS DOUBLE) AS b, p_size::VARCHAR AS s, p_size::DOUBLE AS d FROM part")
+sql("subscript_slice", "SELECT a[0] AS x, a[5] AS y, array_join(a[1:3], '-') AS z FROM (SELECT ARRAY[n_nationkey, n_regionkey, 7] AS a FROM nation) t", "SELECT n_nationkey AS x, NULL::INTEGER AS y, n_regionkey || '-7' AS z FROM nation")
+sql("struct_row", "SELECT r.a AS a, r.b AS b FROM (SELECT ROW(n_name AS a, n_regionkey AS b) AS r FROM nation) t", "SELECT n_name AS a, n_regionkey AS b FROM nation")
+sql("array_subquery", "SELECT t.n AS n, array_join(array_sort(t.a), ',') AS ns FROM (SELECT r.r_name AS n, ARRAY(SELECT n.n_name FROM nation n WHERE n.n_regionkey = r.r_regionkey) AS a FROM region r) t", "SELECT r_name AS n, string_agg(n_name, ',' ORDER BY n_name) AS ns FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+sql("unwind_ordinality", "SELECT n.n_name AS n, u.v AS v, u.i AS i FROM nation n, unwind(ARRAY[n.n_regionkey, n.n_nationkey]) WITH ORDINALITY u(v, i)", "SELECT n_name AS n, n_regionkey AS v, 1 AS i FROM nation UNION ALL SELECT n_name, n_nationkey, 2 FROM nation")
+sql("json_access", "SELECT event_id AS k, (props::json -> 'k')::number AS v FROM events", "SELECT event_id AS k, TRY_CAST(props ->> 'k' AS DOUBLE) AS v FROM events")
+sql("deep_match", "SELECT n_name AS n FROM (SELECT n_name, ARRAY[n_regionkey, n_nationkey] AS a FROM nation) t WHERE a @> ARRAY[1]", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1 OR n_nationkey = 1")
+sql("date_add_sub_extract", "SELECT o_orderkey AS k, date.extract(o_orderdate, 'year') AS y, date.extract(date.add(o_orderdate, interval('1 month 3 days')), 'day') AS d FROM orders WHERE o_orderdate < date.sub('1996-01-01'::date, interval('2 weeks'))", "SELECT o_orderkey AS k, extract(year FROM o_orderdate)::INTEGER AS y, extract(day FROM o_orderdate + INTERVAL 1 MONTH + INTERVAL 3 DAY)::INTEGER AS d FROM orders WHERE o_orderdate < TIMESTAMP '1995-12-18'")
+sql("string_functions", "SELECT n_name AS n, substr(n_name, 2, 3) AS s, slice(n_name, -3, -1) AS t, coalesce(nullif(n_name, 'FRANCE'), 'none') AS c FROM nation", "SELECT n_name AS n, substr(n_name, 2, 3) AS s, n_name[greatest(length(n_name) - 2, 1) : length(n_name) - 1] AS t, coalesce(nullif(n_name, 'FRANCE'), 'none') AS c FROM nation")
+# the subset of the warehouse benchmark whose columns exist here
+_REVENUE = "l.l_extendedprice * (1 - l.l_discount)"
+sql("tpch_q1", "SELECT l_returnflag AS f, l_linestatus AS s, sum((l_quantity)::decimal(22,6))::double AS q, sum((l_extendedprice)::decimal(22,6))::double AS b, sum((l_extendedprice * (1 - l_discount))::decimal(22,6))::double AS d, sum((l_extendedprice * (1 - l_discount) * (1 + l_tax))::decimal(22,6))::double AS c, round(avg(l_quantity), 4) AS aq, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02'::date GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag AS f, l_linestatus AS s, sum((l_quantity)::decimal(22,6))::double AS q, sum((l_extendedprice)::decimal(22,6))::double AS b, sum((l_extendedprice * (1 - l_discount))::decimal(22,6))::double AS d, sum((l_extendedprice * (1 - l_discount) * (1 + l_tax))::decimal(22,6))::double AS c, round(avg(l_quantity), 4) AS aq, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+_Q3 = "SELECT l.l_orderkey AS l_orderkey, o.o_orderdate AS o_orderdate, sum(({r})::decimal(22,6))::double AS revenue FROM customer c, orders o, lineitem l WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < {d} GROUP BY l.l_orderkey, o.o_orderdate ORDER BY revenue DESC, l.l_orderkey LIMIT 10"
+sql("tpch_q3", _Q3.format(r=_REVENUE, d="'1998-01-01'::date"), _Q3.format(r=_REVENUE, d="TIMESTAMP '1998-01-01'"))
+sql("tpch_q5", f"SELECT n.n_name AS n, sum(({_REVENUE})::decimal(22,6))::double AS revenue FROM customer c, orders o, lineitem l, supplier s, nation n, region r WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey AND s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' GROUP BY n.n_name")
+sql("tpch_q6", "SELECT sum((l_extendedprice * l_discount)::decimal(22,6))::double AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+_Q7 = "SELECT t.a AS a, t.b AS b, t.y AS y, sum((t.v)::decimal(22,6))::double AS revenue FROM (SELECT x.n_name AS a, z.n_name AS b, {y} AS y, " + _REVENUE + " AS v FROM supplier s, lineitem l, orders o, customer c, nation x, nation z WHERE s.s_suppkey = l.l_suppkey AND o.o_orderkey = l.l_orderkey AND c.c_custkey = o.o_custkey AND s.s_nationkey = x.n_nationkey AND c.c_nationkey = z.n_nationkey AND x.n_regionkey <> z.n_regionkey) t GROUP BY t.a, t.b, t.y"
+sql("tpch_q7", _Q7.format(y="date.extract(l.l_shipdate, 'year')"), _Q7.format(y="extract(year FROM l.l_shipdate)::INTEGER"))
+sql("tpch_q10", f"SELECT c.c_custkey AS k, c.c_name AS n, sum(({_REVENUE})::decimal(22,6))::double AS revenue FROM customer c, orders o, lineitem l WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' GROUP BY c.c_custkey, c.c_name ORDER BY revenue DESC, k LIMIT 20")
+sql("tpch_q13", "SELECT t.n AS n, count(*) AS customers FROM (SELECT c.c_custkey AS k, count(o.o_orderkey) AS n FROM customer c LEFT OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderpriority <> '5-LOW' GROUP BY c.c_custkey) t GROUP BY t.n")
+sql("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p.p_type LIKE 'PROMO%' THEN {_REVENUE} ELSE 0 END) / sum({_REVENUE}), 6) AS promo FROM lineitem l, part p WHERE l.l_partkey = p.p_partkey")
+sql("tpch_q15", "WITH r(k, v) AS (SELECT l_suppkey, sum((l_extendedprice * (1 - l_discount))::decimal(22,6))::double FROM lineitem GROUP BY l_suppkey) SELECT s.s_suppkey AS k, s.s_name AS n, r.v AS v FROM supplier s, r WHERE s.s_suppkey = r.k AND r.v = (SELECT max(v) FROM r)")
+sql("tpch_q17", "SELECT round(sum(l.l_extendedprice) / 7.0, 2) AS y FROM lineitem l, part p WHERE p.p_partkey = l.l_partkey AND p.p_type = 'PROMO' AND l.l_quantity < (SELECT 0.4 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p.p_partkey)")
+sql("tpch_q18", "SELECT o.o_orderkey AS k, sum((l.l_quantity)::decimal(22,6))::double AS q FROM orders o, lineitem l WHERE o.o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 180) AND o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey")
+sql("tpch_q19", f"SELECT sum(({_REVENUE})::decimal(22,6))::double AS revenue FROM lineitem l, part p WHERE (p.p_partkey = l.l_partkey AND p.p_brand LIKE 'Brand#1%' AND l.l_quantity BETWEEN 1 AND 11 AND p.p_size BETWEEN 1 AND 5) OR (p.p_partkey = l.l_partkey AND p.p_brand LIKE 'Brand#2%' AND l.l_quantity BETWEEN 10 AND 20 AND p.p_size BETWEEN 1 AND 10)")
+sql("tpch_q22", "SELECT c.c_nationkey AS k, count(*) AS n, sum((c.c_acctbal)::decimal(22,6))::double AS s FROM customer c WHERE c.c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY c.c_nationkey")
+
+# graphs: customers and suppliers lie in nations, nations in regions, and each nation has a next one
+cypher("cy_match_1hop", "MATCH (c:Customer)-[r:IN]->(n:Nation {name: 'NATION_3'}) RETURN c.name AS c, type(r) AS t", "SELECT c_name AS c, 'IN' AS t FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
+cypher("cy_match_2hop", "MATCH (s:Supplier)-[:IN]->(n:Nation)-[:IN]->(r:Region) WHERE s.balance > 9000 RETURN s.name AS s, n.name AS n, r.name AS r", "SELECT s_name AS s, n_name AS n, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 9000")
+cypher("cy_undirected", "MATCH (a:Nation)-[:NEXT]-(b:Nation) RETURN a.name AS a, b.name AS b", "SELECT p.n_name AS a, q.n_name AS b FROM nation p JOIN nation q ON abs(p.n_nationkey - q.n_nationkey) = 1")
+cypher("cy_two_types", "MATCH (a:Nation)-[r:NEXT|IN]->(b) RETURN a.name AS a, b.name AS b, type(r) AS t", "SELECT n_name AS a, r_name AS b, 'IN' AS t FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT p.n_name, q.n_name, 'NEXT' FROM nation p JOIN nation q ON q.n_nationkey = p.n_nationkey + 1")
+cypher("cy_optional", "MATCH (n:Nation) OPTIONAL MATCH (s:Supplier)-[:IN]->(n) WHERE s.balance > 8000 RETURN n.name AS n, s.name AS s", "SELECT n_name AS n, s_name AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 8000")
+cypher("cy_pattern_pred", "MATCH (n:Nation) WHERE (n)-[:NEXT]->(:Nation {name: 'NATION_5'}) OR n.name = 'NATION_9' RETURN n.name AS n", "SELECT n_name AS n FROM nation WHERE n_name IN ('NATION_4', 'NATION_9')")
+cypher("cy_exists", "MATCH (n:Nation) WHERE NOT EXISTS { (s:Supplier)-[:IN]->(n) WHERE s.balance > 5000 } RETURN n.name AS n", "SELECT n_name AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)")
+cypher("cy_aggregate", "MATCH (c:Customer)-[:IN]->(n:Nation) RETURN n.name AS n, count(*) AS k, max(c.balance) AS m", "SELECT n_name AS n, count(*) AS k, max(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+cypher("cy_with_pipeline", "MATCH (c:Customer)-[:IN]->(n:Nation) WITH n, count(c) AS k WHERE k > 55 MATCH (n)-[:IN]->(r:Region) RETURN r.name AS r, n.name AS n, k ORDER BY k DESC, n LIMIT 5", "SELECT r_name AS r, n_name AS n, k FROM (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1) JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE k > 55 ORDER BY k DESC, n LIMIT 5")
+cypher("cy_unwind", "UNWIND [1, 2, 3] AS x UNWIND [10, 20] AS y RETURN x + y AS s, x AS x", "SELECT x + y AS s, x FROM (VALUES (1), (2), (3)) a(x), (VALUES (10), (20)) b(y)")
+cypher("cy_quantifiers", "UNWIND [[1, 2], [3, 4], [2, 6]] AS l RETURN l[0] AS a, all(x IN l WHERE x > 1) AS p, any(x IN l WHERE x = 2) AS q, none(x IN l WHERE x > 4) AS r, single(x IN l WHERE x = 3) AS s", "SELECT * FROM (VALUES (1, false, true, true, false), (3, true, false, true, true), (2, true, true, false, false)) t(a, p, q, r, s)")
+cypher("cy_list_comp", "MATCH (r:Region) RETURN r.name AS r, size([(n:Nation)-[:IN]->(r) | n.name]) AS k", "SELECT r_name AS r, count(*)::INTEGER AS k FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+cypher("cy_list_filter", "UNWIND [1, 2] AS k RETURN k AS k, [x IN [1, 2, 3, 4] WHERE x > k | x * 10][-1] AS l, 'ab' + 'cd' STARTS WITH 'abc' AS s, k IN [2, 5] AS i", "SELECT k, 40 AS l, true AS s, k = 2 AS i FROM (VALUES (1), (2)) t(k)")
+cypher("cy_union", "MATCH (r:Region) RETURN r.name AS n UNION MATCH (x:Region) RETURN x.name AS n", "SELECT r_name AS n FROM region")
+cypher("cy_union_all", "MATCH (r:Region) RETURN r.name AS n UNION ALL MATCH (x:Region) RETURN x.name AS n", "SELECT r_name AS n FROM region UNION ALL SELECT r_name FROM region")
+cypher("cy_chained", "MATCH (s:Supplier) WHERE 1000 < s.balance <= 4000 XOR s.name CONTAINS '7' RETURN s.name AS s", "SELECT s_name AS s FROM supplier WHERE (1000 < s_acctbal AND s_acctbal <= 4000) <> (s_name LIKE '%7%')")
+cypher("cy_varlen_1_3", "MATCH (a:Nation)-[p:NEXT*1..3]->(b:Nation) RETURN a.name AS a, b.name AS b, size(p) AS k", "SELECT x.n_name AS a, y.n_name AS b, y.n_nationkey - x.n_nationkey AS k FROM nation x JOIN nation y ON y.n_nationkey - x.n_nationkey BETWEEN 1 AND 3")
+cypher("cy_varlen_zero", "MATCH (a:Nation {name: 'NATION_20'})-[:NEXT*0..2]->(b) RETURN b.name AS b", "SELECT n_name AS b FROM nation WHERE n_nationkey BETWEEN 20 AND 22")
+cypher("cy_varlen_any", "MATCH (a:Nation {name: 'NATION_21'})-[p:NEXT*]->(b:Nation) RETURN b.name AS b, size(p) AS k", "SELECT n_name AS b, n_nationkey - 21 AS k FROM nation WHERE n_nationkey > 21")
+cypher("cy_shortest", "MATCH (a:Nation {name: 'NATION_2'})-[p:NEXT*..6]-(b:Nation) RETURN b.name AS b, min(size(p)) AS k", "SELECT n_name AS b, abs(n_nationkey - 2) AS k FROM nation WHERE n_nationkey <> 2 AND abs(n_nationkey - 2) <= 6")
+cypher("cy_path", "MATCH p = (a:Nation {name: 'NATION_1'})-[:IN]->(r:Region) RETURN size(p.nodes) AS n, length(p) AS e", "SELECT 2 AS n, 1 AS e")
+
+
+def nested(name: str, text: str, oracle: str, lang: str = "sql") -> None:
+    """One language inside another, over the same session."""
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, True).query(text, lang)
+    ORACLE_SQL[name] = oracle
+
+
+nested("lang_sql_cypher", "SELECT n.n_name AS n, g.k AS k FROM nation n JOIN (LANG cypher MATCH (c:Customer)-[:IN]->(x:Nation) RETURN x.name AS name, count(*) AS k) g ON g.name = n.n_name WHERE n.n_regionkey = 2", "SELECT n_name AS n, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1")
+nested("lang_sql_in_cypher", "SELECT n_nationkey AS k FROM nation WHERE n_name IN (LANG cypher MATCH (a:Nation {name: 'NATION_4'})-[:NEXT*1..2]->(b) RETURN b.name AS b)", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey IN (5, 6)")
+nested("lang_cypher_sql", "UNWIND (LANG SQL SELECT n_name AS v FROM nation WHERE n_regionkey = 1) AS v MATCH (n:Nation {name: v})-[:NEXT]->(m) RETURN n.name AS n, m.name AS m", "SELECT a.n_name AS n, b.n_name AS m FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey = 1", "cypher")

@@ -24,6 +24,7 @@ MAX_TRAIN = 16000
 STEPS, DECAY = 150, 1e-4
 #: A slot that fewer rated documents have gets no weight: it would only remember them.
 MIN_ROWS = 5
+BLOCK = 1024
 #: Documents whose probability of the best grade is lower are rejected.
 KEEP_FROM = 0.5
 
@@ -76,7 +77,9 @@ def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, bits: int = BITS,
     scale = np.maximum(1.0, np.bincount(doc, minlength=n)) ** -DAMPING
     some = (np.bincount(slot, minlength=1 << bits) >= min(min_rows, max(1, n // 20)))[slot]
     doc, slot = doc[some], slot[some]
-    value = scale[doc]
+    # gradients add up over blocks of documents, so the driver never holds more than a part of the products
+    edges = np.searchsorted(doc, np.arange(0, n + BLOCK, BLOCK))
+    parts = [(at, min(at + BLOCK, n), slice(a, b)) for at, a, b in zip(range(0, n, BLOCK), edges[:-1], edges[1:])]
     rank = np.clip([(grade > j).mean() for j in range(top)], 1e-3, 1 - 1e-3)
     logit = -np.log(rank / (1 - rank))
     params = np.concatenate([np.zeros(1 << bits), logit[:1], np.log(np.maximum(np.diff(logit), 1e-2))])
@@ -85,7 +88,7 @@ def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, bits: int = BITS,
     for step in range(1, steps + 1):
         gaps = np.exp(params[w + 1 :])
         cut = np.concatenate([[-np.inf], params[w] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
-        score = np.bincount(doc, params[slot] * value, n)
+        score = np.concatenate([np.bincount(doc[x] - at, params[slot[x]], end - at) for at, end, x in parts]) * scale
         low, high = cut[grade] - score, cut[grade + 1] - score
         f = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
         fl, fh = np.where(np.isinf(low), 0, f(low)), np.where(np.isinf(high), 1, f(high))
@@ -93,7 +96,10 @@ def fit(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, bits: int = BITS,
         dl, dh = fl * (1 - fl) / p, fh * (1 - fh) / p
         back = dh - dl  # of the negative log likelihood by the score
         g = np.zeros_like(params)
-        g[:w] = np.bincount(slot, back[doc] * value, w) / n + decay * params[:w]
+        pull = back * scale / n
+        g[:w] = decay * params[:w]
+        for _, _, x in parts:
+            g[:w] += np.bincount(slot[x], pull[doc[x]], w)
         by_cut = np.array([np.sum(dl[grade == j + 1]) - np.sum(dh[grade == j]) for j in range(top)]) / n
         g[w] = by_cut.sum()
         g[w + 1 :] = [by_cut[j:].sum() * gaps[j - 1] for j in range(1, top)]

@@ -173,3 +173,39 @@ def nested(name: str, text: str, oracle: str, lang: str = "sql") -> None:
 nested("lang_sql_cypher", "SELECT n.n_name AS n, g.k AS k FROM nation n JOIN (LANG cypher MATCH (c:Customer)-[:IN]->(x:Nation) RETURN x.name AS name, count(*) AS k) g ON g.name = n.n_name WHERE n.n_regionkey = 2", "SELECT n_name AS n, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1")
 nested("lang_sql_in_cypher", "SELECT n_nationkey AS k FROM nation WHERE n_name IN (LANG cypher MATCH (a:Nation {name: 'NATION_4'})-[:NEXT*1..2]->(b) RETURN b.name AS b)", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey IN (5, 6)")
 nested("lang_cypher_sql", "UNWIND (LANG SQL SELECT n_name AS v FROM nation WHERE n_regionkey = 1) AS v MATCH (n:Nation {name: v})-[:NEXT]->(m) RETURN n.name AS n, m.name AS m", "SELECT a.n_name AS n, b.n_name AS m FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey = 1", "cypher")
+
+
+def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each region, with its nations and how many customers they have."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    n = read("customer").groupBy("c_nationkey").agg(F.count("*").alias("k"))
+    nation = read("nation").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    one = F.format_string('<nation id="%d" customers="%d"><name>%s</name></nation>', "n_nationkey", F.coalesce("k", F.lit(0)), "n_name")
+    inner = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("x")))), lambda s: s["x"]), "").alias("inner"))
+    region = read("region").join(inner, F.col("r_regionkey") == F.col("n_regionkey"))
+    return region.select(F.col("r_regionkey").cast("string").alias("doc"), F.concat(F.format_string('<region id="%d" name="%s">', "r_regionkey", "r_name"), "inner", F.lit("</region>")).alias("xml"))
+
+
+def xquery(name: str, text: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, True)
+        e.register_xml("atlas", atlas(spark, sf_dir))
+        return e.query(text, "sql" if text.lstrip().upper().startswith("SELECT") else "xquery")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle
+
+
+xquery("xq_sequence", "(1, 2, 3, 4 to 6)[. mod 2 = 0]", "SELECT * FROM (VALUES (2), (4), (6)) t(value)")
+xquery("xq_range_pred", "(10 to 20)[position() = 3 or position() = last()]", "SELECT * FROM (VALUES (12), (20)) t(value)")
+xquery("xq_path", "$atlas/region/nation/name", "SELECT '<name>' || n_name || '</name>' AS value FROM nation")
+xquery("xq_attribute", "$atlas//nation[@customers > 60]/@id", "SELECT c_nationkey::VARCHAR AS value FROM customer GROUP BY c_nationkey HAVING count(*) > 60")
+xquery("xq_axes", "for $n in $atlas//nation[name = 'NATION_7'] return ($n/../@name, $n/ancestor::region/@id, count($n/following-sibling::nation), $n/descendant-or-self::nation/@id)[. != 'none']", "SELECT r_name AS value FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 7 UNION ALL SELECT r_regionkey::VARCHAR FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 7 UNION ALL SELECT count(*)::VARCHAR FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey = 7 AND b.n_nationkey > 7 UNION ALL SELECT '7'")
+xquery("xq_positional", "$atlas/region/nation[2]/@id", "SELECT n_nationkey::VARCHAR AS value FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS p FROM nation) WHERE p = 2")
+xquery("xq_last", "$atlas/region/nation[last()]/preceding-sibling::nation[1]/@id", "SELECT n_nationkey::VARCHAR AS value FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS p FROM nation) WHERE p = 2")
+xquery("xq_flwor", "for $n in $atlas//nation let $c := $n/@customers where $c > 55 order by number($c) descending return $n/name || ':' || $c", "SELECT n_name || ':' || count(*) AS value FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 55")
+xquery("xq_flwor_group", "for $n in $atlas//nation group by $big := $n/@customers > 60 return count($n)", "SELECT count(*)::INTEGER AS value FROM (SELECT c_nationkey, count(*) > 60 AS b FROM customer GROUP BY 1) GROUP BY b")
+xquery("xq_quantified", "for $r in $atlas/region where some $c in $r/nation/@customers satisfies $c > 70 return $r/@name", "SELECT DISTINCT r_name AS value FROM region JOIN nation ON n_regionkey = r_regionkey JOIN (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE k > 70")
+xquery("xq_constructor", 'for $r in $atlas/region return <r n="{$r/@name}">{sum($r/nation/@customers)}</r>', """SELECT '<r n="' || r_name || '">' || count(*) || '</r>' AS value FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name""")
+xquery("lang_sql_xquery", "SELECT n.n_regionkey AS r, count(*) AS k FROM nation n WHERE n.n_name IN (LANG xquery for $n in $atlas//nation[@id > 9] return string($n/name)) GROUP BY n.n_regionkey", "SELECT n_regionkey AS r, count(*) AS k FROM nation WHERE n_nationkey > 9 GROUP BY 1")
+xquery("lang_xquery_sql", "for $x in (LANG SQL SELECT r_name FROM region WHERE r_regionkey < 2) return <r>{$x}</r>", "SELECT '<r>' || r_name || '</r>' AS value FROM region WHERE r_regionkey < 2")

@@ -14,7 +14,9 @@ from .operators.recursion import fixpoint
 from .plans.cypher import Cypher
 from .plans.lexer import QueryError, tokens
 from .plans.sql import Sql
+from .plans.xquery import XQuery
 from .sources.graph import Graph
+from .sources.xml import node_table
 
 LANGUAGES = ("sql", "cypher", "xquery")
 
@@ -43,6 +45,12 @@ class Engine:
         self.register_table((name, "edges"), edges)
         self.default_graph = self.default_graph or name
 
+    def register_xml(self, name: str, documents: DataFrame) -> None:
+        """documents(doc, xml); $name stands for all of them in XQuery."""
+        nodes = node_table(documents)
+        self.documents[name] = nodes
+        self.register_table((name, "xml"), nodes)
+
     def query(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None) -> DataFrame:
         """The result of the last of the statements."""
         m = re.match(r"\s*LANG\s+(\w+)\b", text, re.I)
@@ -55,6 +63,8 @@ class Engine:
             return out
         if lang == "cypher":
             return Cypher(self, text, params or {}).run()
+        if lang == "xquery":
+            return XQuery(self, text, params or {}).run()
         raise QueryError(f"unknown language {lang}")
 
     def explain(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None, mode: str = "formatted") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str, graph: bool = False) -> Engine:
-    e = Engine(spark).register_tables(sf_dir, TABLES)
+def engine(spark: SparkSession, sf_dir: str, text: str, graph: bool = False) -> Engine:
+    """An engine with the tables that the query's text names."""
+    e = Engine(spark).register_tables(sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
     if graph:
         e.register_graph("shop", *shop(spark, sf_dir))
     return e
@@ -44,12 +46,12 @@ def shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def sql(name: str, text: str, oracle: str | None = None, **params: object) -> None:
     """Registers a query in the dialect; where DuckDB reads the same text it is its own check."""
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir).query(text, params=params)
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, text).query(text, params=params)
     ORACLE_SQL[name] = oracle or text
 
 
 def cypher(name: str, text: str, oracle: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, True).query(text, "cypher")
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, text, True).query(text, "cypher")
     ORACLE_SQL[name] = oracle
 
 
@@ -166,7 +168,7 @@ cypher("cy_path", "MATCH p = (a:Nation {name: 'NATION_1'})-[:IN]->(r:Region) RET
 
 def nested(name: str, text: str, oracle: str, lang: str = "sql") -> None:
     """One language inside another, over the same session."""
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, True).query(text, lang)
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, text, True).query(text, lang)
     ORACLE_SQL[name] = oracle
 
 
@@ -188,7 +190,7 @@ def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xquery(name: str, text: str, oracle: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir, True)
+        e = engine(spark, sf_dir, text)
         e.register_xml("atlas", atlas(spark, sf_dir))
         return e.query(text, "sql" if text.lstrip().upper().startswith("SELECT") else "xquery")
 

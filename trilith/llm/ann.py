@@ -22,7 +22,7 @@ from .topk import best, finite, grid, merged, stacked
 #: Bits a component: the vector is padded to this many times its length before it is rotated.
 BITS = 4
 #: Width of the error bound in standard deviations of the estimate.
-EPSILON = 3.5
+EPSILON = 2.5
 SEED = 20240517
 QUERY_BLOCK, SHARD = 2048, 8192
 

@@ -211,3 +211,29 @@ xquery("xq_quantified", "for $r in $atlas/region where some $c in $r/nation/@cus
 xquery("xq_constructor", 'for $r in $atlas/region return <r n="{$r/@name}">{sum($r/nation/@customers)}</r>', """SELECT '<r n="' || r_name || '">' || count(*) || '</r>' AS value FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name""")
 xquery("lang_sql_xquery", "SELECT n.n_regionkey AS r, count(*) AS k FROM nation n WHERE n.n_name IN (LANG xquery for $n in $atlas//nation[@id > 9] return string($n/name)) GROUP BY n.n_regionkey", "SELECT n_regionkey AS r, count(*) AS k FROM nation WHERE n_nationkey > 9 GROUP BY 1")
 xquery("lang_xquery_sql", "for $x in (LANG SQL SELECT r_name FROM region WHERE r_regionkey < 2) return <r>{$x}</r>", "SELECT '<r>' || r_name || '</r>' AS value FROM region WHERE r_regionkey < 2")
+nested("lang_correlated_lateral", "SELECT n.n_name AS n, g.k AS k FROM nation n, (LANG cypher MATCH (c:Customer)-[:IN]->(x:Nation) WHERE x.name = n.n_name AND c.balance > 9000 RETURN c.name AS k) g", "SELECT n_name AS n, c_name AS k FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
+nested("lang_correlated_exists", "SELECT n.n_name AS n FROM nation n WHERE EXISTS (LANG cypher MATCH (s:Supplier)-[:IN]->(x) WHERE x.name = n.n_name AND s.balance > 7000 RETURN s.name AS s)", "SELECT n_name AS n FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 7000)")
+nested("lang_correlated_array", "SELECT t.n AS n, size(t.a) AS k FROM (SELECT n.n_name AS n, ARRAY(LANG cypher MATCH (s:Supplier)-[:IN]->(x) WHERE x.name = n.n_name RETURN s.name AS s) AS a FROM nation n) t", "SELECT n_name AS n, count(s_suppkey)::INTEGER AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+
+
+def _extended(spark: SparkSession, sf_dir: str, text: str) -> Engine:
+    """An engine with a user's function, aggregate and table function."""
+    from .functions.samples import Digits, shifted, spread
+
+    e = engine(spark, sf_dir, text)
+    e.registry.function("shifted", shifted)
+    e.registry.aggregate("spread", spread)
+    e.registry.table_function("digits", Digits)
+    e.registry.builder("squared", lambda x: f"({x} * {x})")
+    return e
+
+
+def extended(name: str, text: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _extended(spark, sf_dir, text).query(text)
+    ORACLE_SQL[name] = oracle
+
+
+extended("udf_scalar", "SELECT c_custkey AS k, shifted(c_acctbal) AS b, squared(c_nationkey) AS s FROM customer", "SELECT c_custkey AS k, c_acctbal + 1 AS b, c_nationkey * c_nationkey AS s FROM customer")
+extended("udaf_custom", "SELECT c_nationkey AS k, spread(c_acctbal) AS s FROM customer GROUP BY c_nationkey", "SELECT c_nationkey AS k, max(c_acctbal) - min(c_acctbal) AS s FROM customer GROUP BY 1")
+extended("udtf_custom", "SELECT n.n_nationkey AS k, t.d AS d FROM nation n, digits(n.n_nationkey) t", "SELECT n_nationkey AS k, unnest(string_split(n_nationkey::VARCHAR, ''))::INTEGER AS d FROM nation")
+sql("interval_parse", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= date.add('1995-01-01'::date, interval('1-2')) AND o_orderdate < date.add('1996-03-01'::date, interval('5 days 12:00:00'))", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-03-06 12:00:00'")

@@ -62,7 +62,7 @@ class Engine:
                 out = self.sql(part, params or {})
             return out
         if lang == "cypher":
-            return Cypher(self, text, params or {}).run()
+            return self.spark.sql(Cypher(self, text, params or {}).text())
         if lang == "xquery":
             return XQuery(self, text, params or {}).run()
         raise QueryError(f"unknown language {lang}")
@@ -85,12 +85,19 @@ class Engine:
         df.createOrReplaceTempView(name)
         return name
 
-    def block(self, params: dict[str, Any]) -> Callable[[str, str], tuple[str, list[str]]]:
-        """What a LANG block stands for: a view of its result."""
+    def block(self, params: dict[str, Any]) -> Callable[[str, str], tuple[str, list[str], bool]]:
+        """What a LANG block stands for: a relation, its columns, and whether it reads the outer query's columns.
 
-        def resolve(language: str, text: str) -> tuple[str, list[str]]:
+        Cypher is spliced in as text, so what its patterns don't bind are columns of the query around it.
+        """
+
+        def resolve(language: str, text: str) -> tuple[str, list[str], bool]:
+            if language == "cypher":
+                inner = Cypher(self, text, params)
+                out = inner.text()
+                return f"({out})", inner.vars, bool(inner.free)
             df = self.query(text, language, params)
-            return self.view(df, f"lang_{language}"), df.columns
+            return self.view(df, f"lang_{language}"), df.columns, False
 
         return resolve
 

@@ -53,6 +53,11 @@ CASES = [
     ("for $x in (1, 2) for $y in (10, 20) order by $y, $x return $x + $y", [11, 12, 21, 22]),
     ("for $b in $doc//book group by $big := $b/@price > 12 return count($b)", [1, 2]),
     ("for $a in $doc//author return $a/../@id", ["b1", "b1", "b2", "b3"]),
+    ("for $b in $doc//book return for $a in $b/author return $a", ["<author>Ann</author>", "<author>Ben</author>", "<author>Cid</author>", "<author>Ann</author>"]),
+    ("switch ('b') case 'a' return 1 case 'b' case 'c' return 2 default return 3", [2]),
+    ("'12' cast as xs:integer + 1", [13.0]),
+    ("declare namespace x = 'http://x'; <!-- c -->", ["<!-- c -->"]),
+    ("<a><!--n--><?p q?>{ comment { 'k' } }</a>", ["<a><!--n--><?p q?><!--k--></a>"]),
     ("some $x in (1, 2, 3) satisfies $x > 2", [True]),
     ("every $x in (1, 2, 3) satisfies $x > 2", [False]),
     ("for $b in $doc//book where exists($b/author[2]) return string($b/title)", ["SQL Basics"]),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read, with_key
+from .common import NULL_ID, checkpointed, read, with_key
 from .native import let, matches, matches_if
 
 KINDS = ("email", "ip", "card", "phone")
@@ -149,7 +149,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EV
     rows = found.select("key_id", "key_hash", F.explode("_spans").alias("s")).select("key_id", "key_hash", "s.*").withColumn("from", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).where(F.col("end") > F.col("from"))
     cuts = rows.groupBy("key_id", "key_hash").agg(F.array_sort(F.collect_list(F.struct("from", F.greatest("start", "from").alias("start"), "end", "kind"))).alias("_cuts"))
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)))
-    keys = docs.withColumn("key_id", with_key_id(docs)).withColumn("key_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = docs.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     joined = keys.join(cuts, ["key_id", "key_hash"], "left")
     part = F.transform("_cuts", lambda c: F.concat(F.substring(F.col("text"), (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), F.get(labels, c["kind"])))
     rest = F.substring(F.col("text"), (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length("text"))
@@ -157,11 +157,5 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EV
     return joined.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
-def with_key_id(docs: DataFrame) -> Column:
-    from .common import NULL_ID
-
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
-
-
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find(read(spark, sf_dir, "documents")))

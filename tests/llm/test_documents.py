@@ -207,6 +207,22 @@ def test_terms_that_disclose_an_entity_go(spark):
     assert clean[0] == "report 0: the secretary [TERM] wrote to [EMAIL] about item 0 again" and clean[66] is None and clean[10] == other[4]
 
 
+def test_terms_anywhere_in_the_document_disclose_an_entity(spark):
+    mail = "owl@example.com"
+    filler = "and then the office went on about the other matters of the week as it always did before"
+    block = [f"Zyxwvut, head of item {i}\n\n{filler}\n{filler}\nwrite to {mail}\n{filler}\nsigned: ZYXWVUT" for i in range(6)]
+    pair = [f"Qponmlk {filler} number {i}\n{filler}\n10.0.0.7" for i in range(2)]
+    copies = [f"Hgfedcb {filler}\n{filler}\n10.0.0.8"] * 5
+    other = [f"report {i}: the head of the office signed and will write about item number {i} of {filler}" for i in range(600)] + ["Zyxwvut without an address"]
+    docs = spark.createDataFrame(list(enumerate(block + pair + copies + other)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert all([block[i][t.start : t.end] for t in found[i].terms] == ["Zyxwvut", "ZYXWVUT"] for i in range(6))
+    assert all([pair[i - 6][t.start : t.end] for t in found[i].terms] == ["Qponmlk"] for i in (6, 7))
+    assert not any(found[i].terms for i in range(8, len(found)))  # five copies are one text: chance explains one; no entity, no term
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == f"[TERM], head of item 0\n\n{filler}\n{filler}\nwrite to [EMAIL]\n{filler}\nsigned: [TERM]" and clean[613] == other[-1]
+
+
 def test_licenses(docs, none):
     def base(t):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

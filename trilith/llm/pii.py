@@ -1,9 +1,11 @@
 """Operator 3, PII: information-theoretic sanitisation, in DataFrame functions only.
 
-Protected entities are what patterns find: e-mail addresses, IP addresses, payment card and phone numbers. A term that
-stands next to an entity discloses it as far as the two share information: with document counts over the whole corpus,
-PMI(term; entity) = log2(c * N / (df(term) * df(entity))), against the entity's own information IC = log2(N / df).
-Terms with PMI / IC at the threshold or above, and enough evidence, are generalised to a label, as entities are.
+Protected entities are what patterns find: e-mail addresses, IP addresses, payment card and phone numbers. A term of a
+document that holds an entity, wherever in it, discloses the entity as far as the two share information: with document
+counts over the whole corpus, PMI(term; entity) = log2(c * N / (df(term) * df(entity))), against the entity's own
+information IC = log2(N / df). Terms with PMI / IC at the threshold or above are generalised to a label, as entities are,
+unless chance explains it: were the x texts of an entity drawn at random, y of them or more would hold a term of share q
+with a probability of at most 2 ** -(x * KL(y / x, q)), and the corpus has as many trials as entities times terms.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Share of an entity's information that a term may disclose, and distinct texts that have to show them together.
-DISCLOSURE, EVIDENCE = 0.8, 3
-#: Terms before and after an entity that count as its surroundings, on its line and within so many characters.
-NEAR, REACH = 3, 64
+#: Share of an entity's information that a term may disclose, and how many of all pairs flagged may be there by chance.
+DISCLOSURE, CHANCE = 0.8, 0.05
+#: A term: three or more letters.
+WORD = r"\p{L}{3,}+"
+PLACES = "array<struct<start:bigint,end:bigint>>"
 
 
 def _digits(hit: Column) -> Column:
@@ -69,59 +72,60 @@ def _entity(kind: Column, hit: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), F.when(kind >= 2, _digits(hit)).otherwise(F.lower(hit)))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms (three or more letters) around a span: term, start, end."""
-    from_ = F.greatest(F.lit(0), span["start"] - REACH)
-    before, after = F.substring(text, (from_ + 1).cast("int"), (span["start"] - from_).cast("int")), F.substring(text, (span["end"] + 1).cast("int"), F.lit(REACH))
-    word = r"\p{L}{3,}+"
-
-    def left(s: Column) -> Column:
-        # the line so far; a word that the window may have cut doesn't count
-        cut = F.length(s) - F.length(F.element_at(F.split(s, "\n"), -1))
-        return F.slice(F.reverse(F.filter(matches(s, word), lambda m: (m["start"] >= cut) & ((m["start"] > 0) | (from_ == 0)))), 1, NEAR)
-
-    def right(s: Column) -> Column:
-        cut = F.length(F.get(F.split(s, "\n"), F.lit(0)))
-        return F.slice(F.filter(matches(s, word), lambda m: (m["end"] <= cut) & ((m["end"] < REACH) | (F.length(s) < REACH))), 1, NEAR)
-
-    at = lambda ms, shift: F.transform(ms, lambda m: F.struct(F.lower(m["hit"]).alias("term"), (m["start"] + shift).alias("start"), (m["end"] + shift).alias("end")))
-    return F.concat(at(let(before, left), from_), at(let(after, right), span["end"]))
-
-
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: F.length(t) >= 3))
-
-
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda t: F.length(t) >= 3), F.lower))
+
+
+def _bits(texts: Column, of: Column, share: Column) -> Column:
+    """-log2 of the bound on the probability that `texts` or more of `of` texts hold a term of that share; 0 up to the share."""
+    y = texts / of
+    rest = F.when(texts < of, (1 - y) * F.log2((1 - y) / (1 - share))).otherwise(0.0)
+    return F.when(y > share, of * (y * F.log2(y / share) + rest)).otherwise(0.0)
+
+
+def _flagged(keyed: DataFrame, base: DataFrame, n_docs: int, disclosure: float, chance: float) -> DataFrame:
+    """key_id, key_hash, told: the terms that disclose entities of a document, for documents with any."""
+    n = F.lit(float(n_docs))
+    held = base.where("text IS NOT NULL")
+    named = held.select("key_id", "key_hash", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
+    # copies of a text are documents, but no further evidence
+    entities = checkpointed(named.groupBy("entity", "key_hash").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("df_entity"), F.count("*").alias("of")))
+    df_term = checkpointed(keyed.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")))
+    least = F.log2(F.lit(max(1.0, float(entities.count()) * df_term.count() / chance)))
+    # y texts that hold both say y * log2(N / y) bits at most: what stays below `least` even then isn't paired or joined
+    possible = lambda y: (F.col(y) < n) & (F.col(y) * F.log2(n / F.col(y)) >= least - 1e-6)
+    some = named.join(entities.where(possible("of")).select("entity"), "entity").groupBy("key_id", "key_hash").agg(F.collect_set("entity").alias("some"))
+    pairs = held.select("key_id", "key_hash", "text").join(some, ["key_id", "key_hash"]).select("key_hash", "some", F.explode(_terms(F.col("text"))).alias("term")).select("key_hash", "term", F.explode("some").alias("entity"))
+    together = pairs.groupBy("entity", "term", "key_hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts")).where(possible("texts"))
+    scored = together.join(df_term, "term").join(entities, "entity")
+    ic = F.log2(n / F.col("df_entity"))
+    pmi = F.log2(F.col("c") * n / (F.col("df_term") * F.col("df_entity")))
+    flagged = scored.where((ic > 0) & (pmi >= ic * disclosure) & (_bits(F.col("texts"), F.col("of"), F.col("df_term") / n) >= least))
+    told = flagged.groupBy("entity").agg(F.collect_set("term").alias("told"))
+    return named.join(told, "entity").groupBy("key_id", "key_hash").agg(F.array_distinct(F.flatten(F.collect_set("told"))).alias("told"))
+
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, key_id, key_hash, base, terms: one row per row of docs.
 
-    base: entities (start, kind, end, hit), by start and kind; terms: spans (start, end) of terms that disclose one,
-    outside of entities. Offsets are code points, ends exclusive. A null text counts as empty and has none; rows that
-    repeat a doc_id are documents of their own; a null doc_id stays null; other columns are ignored; an empty table
-    gives an empty result. Counts are over all documents, and an entity or term in a third of them is counted before
-    it is shuffled.
+    base: entities (start, kind, end, hit), by start and kind; terms: spans (start, end) of every place of a term that
+    discloses an entity of the document, outside of entities. Offsets are code points, ends exclusive. A null text
+    counts as empty and has none; rows that repeat a doc_id are documents of their own; a null doc_id stays null; other
+    columns are ignored; an empty table gives an empty result. Counts are over all documents, and an entity or term in
+    a third of them is counted before it is shuffled.
     """
     keyed = with_key(docs)
-    base = checkpointed(keyed.withColumn("base", entity_spans(F.col("text"))).withColumn("base", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _entity(s["kind"], s["hit"]).alias("entity"), _near(F.col("text"), s).alias("near")))).select("doc_id", "key_id", "key_hash", "base"))
-    n_docs = base.count()
-    seen = base.where(F.size("base") > 0).select("key_id", "key_hash", F.explode("base").alias("s")).select("key_id", "key_hash", F.col("s.entity").alias("entity"), F.col("s.near").alias("near"))
-    df_entity = seen.select("key_id", "key_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    near = seen.select("key_id", "key_hash", "entity", F.explode("near").alias("m")).select("key_id", "key_hash", "entity", F.col("m.term").alias("term"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).distinct()
-    together = near.select("key_id", "key_hash", "entity", "term").distinct().groupBy("entity", "term", "key_hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts")).where(F.col("texts") >= evidence)
-    together = checkpointed(together)
-    if not together.isEmpty():
-        # counted by every task before anything is shuffled: a join first would pass on each place of each common term
-        df_term = keyed.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-        scored = together.join(df_term, "term").join(df_entity, "entity")
-        ic = F.log2(F.lit(float(n_docs)) / F.col("df_entity"))
-        pmi = F.log2(F.col("c") * F.lit(float(n_docs)) / (F.col("df_term") * F.col("df_entity")))
-        flagged = scored.where((ic > 0) & (pmi >= ic * disclosure)).select("entity", "term")
-        found = near.join(flagged, ["entity", "term"]).groupBy("key_id", "key_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-        base = base.join(found, ["key_id", "key_hash"], "left")
+    spans = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _entity(s["kind"], s["hit"]).alias("entity")))
+    base = checkpointed(keyed.withColumn("base", entity_spans(F.col("text"))).select("doc_id", "key_id", "key_hash", F.when(F.size("base") > 0, F.col("text")).alias("text"), spans.alias("base")))
+    told = checkpointed(_flagged(keyed, base, base.count(), disclosure, chance))
+    if not told.isEmpty():
+        words = F.filter(matches(F.col("text"), WORD), lambda m: F.array_contains("told", F.lower(m["hit"])))
+        outside = F.filter(words, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+        places = base.where("text IS NOT NULL").join(told, ["key_id", "key_hash"]).select("key_id", "key_hash", F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("terms"))
+        base = base.drop("text").join(places.dropDuplicates(["key_id", "key_hash"]), ["key_id", "key_hash"], "left")
     else:
-        base = base.withColumn("terms", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
-    outside = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return base.select("doc_id", "key_id", "key_hash", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.coalesce(outside, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("terms"))
+        base = base.withColumn("terms", F.lit(None).cast(PLACES))
+    return base.select("doc_id", "key_id", "key_hash", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.coalesce("terms", F.array().cast(PLACES)).alias("terms"))
 
 
 def _all(base: Column, terms: Column) -> Column:
@@ -139,12 +143,12 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(_all(F.col("base"), F.col("terms"))).alias("spans"))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """docs with entities and disclosing terms in text replaced by labels such as [EMAIL] and [TERM]; all columns stay.
 
     Of overlapping spans the part not yet covered is replaced. Texts without spans, null ones included, stay as they are.
     """
-    found = find(docs, disclosure, evidence).select("key_id", "key_hash", _all(F.col("base"), F.col("terms")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key_id", "key_hash"])
+    found = find(docs, disclosure, chance).select("key_id", "key_hash", _all(F.col("base"), F.col("terms")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key_id", "key_hash"])
     w = Window.partitionBy("key_id", "key_hash").orderBy("start", "kind", "end")
     rows = found.select("key_id", "key_hash", F.explode("_spans").alias("s")).select("key_id", "key_hash", "s.*").withColumn("from", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).where(F.col("end") > F.col("from"))
     cuts = rows.groupBy("key_id", "key_hash").agg(F.array_sort(F.collect_list(F.struct("from", F.greatest("start", "from").alias("start"), "end", "kind"))).alias("_cuts"))

@@ -69,3 +69,15 @@ def test_stages(spark, folder, tmp_path):
 def test_run_is_the_stages_one_after_another(spark, folder):
     path = folder[0]
     assert corpus_pipeline.run(spark, path).count() > 200
+
+
+def test_a_repeated_row_leaves_one_whole_document(spark, tmp_path):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    docs = [(i, prose(60), "en", "s", 419) for i in range(20)]
+    rows = [*docs, *docs[:10], *docs[:5], (30, None, "en", "s", None), (31, docs[12][1], "en", "s", 419), (31, docs[12][1], "en", "t", 419)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "in"))
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "in")), "")
+    kept.write.parquet(str(tmp_path / "kept"))
+    after = corpus_pipeline.repeated_passages(spark, spark.read.parquet(str(tmp_path / "kept")), "")
+    assert sorted((x.doc_id, x.text or "") for x in after.collect()) == [*((i, t) for i, t, *_ in docs), (30, "")]

@@ -278,11 +278,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
 BROADCAST_ROWS = 200_000
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, one_row: bool = False) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; all columns stay.
 
     Rows that repeat a doc_id with the same text are one document and stay or go together; of rows that repeat it with
-    other texts in the same component the one of the smallest text hash stays.
+    other texts in the same component the one of the smallest text hash stays. With one_row only one of the rows that
+    repeat a doc_id with the same text stays, the first by all its columns as JSON; texts without a shingle all stay.
     """
     rows = checkpointed(jaccard_components(docs, k, percent).where("group IS NOT NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "key_hash", "group"))
     release(docs.sparkSession)
@@ -291,7 +292,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     goes = checkpointed(joined)
     goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
     keyed = docs.withColumns({"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(goes, (F.col("_key_id") == goes["key_id"]) & (F.col("_key_hash") == goes["key_hash"]), "left_anti").select(*docs.columns)
+    on = lambda keys: (F.col("_key_id") == keys["key_id"]) & (F.col("_key_hash") == keys["key_hash"])
+    kept = keyed.join(goes, on(goes), "left_anti")
+    if not one_row:
+        return kept.select(*docs.columns)
+    again = checkpointed(rows.groupBy("key_id", "key_hash").agg(F.count("*").alias("n")).where("n > 1").select("key_id", "key_hash"))
+    n_again = again.count()
+    if not n_again:
+        return kept.select(*docs.columns)
+    again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
+    row = F.struct(*docs.columns)
+    one = kept.join(again, on(again), "left_semi").groupBy("_key_id", "_key_hash").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return kept.join(again, on(again), "left_anti").select(*docs.columns).union(one)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

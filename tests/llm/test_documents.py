@@ -249,6 +249,43 @@ def test_license_rules_suppress_what_a_grant_contains(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == {1: "apache-2.0", 2: "apache-2.0,mit", 3: ""}
 
 
+def sample(parsed, r):
+    """A text that a parsed regex matches."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kind, value = r.choice(arg)
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(r.randint(*value)) if str(kind) == "RANGE" else "1" if str(value) == "CATEGORY_DIGIT" else "x")
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [sample(arg[2], r) for _ in range(r.randint(arg[0], min(int(arg[1]), arg[0] + 2)))]
+        elif op == "BRANCH":
+            out.append(sample(r.choice(arg[1]), r))
+        else:
+            assert op == "SUBPATTERN", op
+            out.append(sample(arg[3], r))
+    return "".join(out)
+
+
+def test_license_gates_hide_no_alternative(spark, monkeypatch):
+    r = random.Random(9)
+    patterns = [names for _, _, names in licenses.FAMILIES] + [o[-1] for o in licenses.OTHERS]
+    found = {sample(re._parser.parse(p), r) for p in patterns for _ in range(25)}
+    told = {
+        "Licensed under the AGPLv3": "agpl-3.0", "AGPL 3": "agpl-3.0", "GNU General Public License v2": "gpl-2.0", "GNU General Public License v3.0": "gpl-3.0",
+        "PSF license": "python", "ODC ODbL": "odbl", "All rights are reserved": "reserved", "without warranties of any kind": "disclaimer",
+    }
+    docs = spark.createDataFrame(list(enumerate([*told, *sorted(found)])), "doc_id long, text string")
+    gated = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
+    assert all(v in gated[i].split(",") for i, v in enumerate(told.values()))
+    rules = [rule._replace(keywords=("",)) for rule in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: rules)
+    monkeypatch.setattr(licenses, "GATES", ("",))
+    assert gated == {x.doc_id: x.labels for x in licenses.scan(docs).collect()} and all(gated.values())
+
+
 def test_piece_tokenizer_round_trip(docs, none):
     coded = piece_tokenizer.encode(docs)
     got = counted((r.doc_id, r.text) for r in piece_tokenizer.decode(coded).collect())

@@ -1,7 +1,7 @@
 """Operator 4, license scans by ordered signature rules, in DataFrame functions only.
 
-Rules are regexes over the words of a text, each with a label, a priority and a weight, and gated by a keyword: a
-text without a rule's keyword never meets its regex, and most texts meet none. A detection inside another one of the
+Rules are regexes over the words of a text, each with a label, a priority and a weight, and gated by keywords: a
+text with none of a rule's keywords never meets its regex (every alternative holds one), and most texts meet none. A detection inside another one of the
 same or a higher priority is suppressed, so `licensed under the apache license version 2 0` isn't also a bare mention.
 """
 
@@ -18,12 +18,12 @@ from .native import let, matches
 # The phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: (label, keyword, the names of a licence in words: lower case, one space between, no punctuation).
+#: (label, keywords with | between, the names of a licence in words: lower case, one space between, no punctuation).
 FAMILIES = (
-    ("agpl-3.0", "affero", "(?:gnu )?affero (?:gpl|general public licen[cs]e)(?: (?:version |v)?3(?: 0)?)?|agpl ?v?3?"),
+    ("agpl-3.0", "affero|agpl", "(?:gnu )?affero (?:gpl|general public licen[cs]e)(?: (?:version |v)?3(?: 0)?)?|agpl ?v?3?"),
     ("lgpl", "lesser", "(?:gnu )?lesser (?:gpl|general public licen[cs]e)(?: (?:version |v)?(?:2 1|3)(?: 0)?)?"),
-    ("gpl-2.0", " 2 ", "(?:gnu )?general public licen[cs]e (?:version |v)2(?: 0)?(?: or later)?"),
-    ("gpl-3.0", " 3 ", "(?:gnu )?general public licen[cs]e (?:version |v)3(?: 0)?(?: or later)?"),
+    ("gpl-2.0", "general public", "(?:gnu )?general public licen[cs]e (?:version |v)2(?: 0)?(?: or later)?"),
+    ("gpl-3.0", "general public", "(?:gnu )?general public licen[cs]e (?:version |v)3(?: 0)?(?: or later)?"),
     ("gpl", "gpl", "(?:gnu )?gpl(?: ?v?[23](?: 0)?)?(?: or later)?"),
     ("gpl", "general public", "(?:gnu )?general public licen[cs]e"),
     ("gfdl", "free documentation", "(?:gnu )?free documentation licen[cs]e(?: (?:version |v)?1 [1-3])?"),
@@ -45,14 +45,14 @@ FAMILIES = (
     ("boost", "boost", "boost software licen[cs]e(?: (?:version |v)?1(?: 0)?)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
-    ("python", "python", "python(?: software foundation)? licen[cs]e|psf licen[cs]e"),
+    ("python", "python|psf", "python(?: software foundation)? licen[cs]e|psf licen[cs]e"),
     ("php", " php ", "php licen[cs]e(?: (?:version |v)?3 01?)?"),
     ("postgresql", "postgresql", "postgresql licen[cs]e"),
     ("openssl", "openssl", "openssl licen[cs]e"),
     ("ms-pl", "microsoft", "microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"),
     ("ofl", "open font", "(?:sil )?open font licen[cs]e(?: (?:version |v)?1 [01])?"),
-    ("odbl", "open database", "open database licen[cs]e|odc odbl"),
+    ("odbl", "open database|odbl", "open database licen[cs]e|odc odbl"),
     ("odc-by", "open data", "open data commons attribution licen[cs]e"),
     ("odc-pddl", "public domain dedication", "(?:open data commons )?public domain dedication and licen[cs]e"),
     ("ogl", "open government", "open government licen[cs]e(?: v?[1-3](?: 0)?)?"),
@@ -81,9 +81,9 @@ FORMS = (
     (3, 0.8, "(?:see|read|copy of|text of|terms of|conditions of|version of) (?:the )?(?:full )?(?:{})"),
     (1, 0.5, "(?:{})"),
 )
-#: Rules without a licence's name: (label, priority, weight, keyword, regex).
+#: Rules without a licence's name: (label, priority, weight, keywords, regex).
 OTHERS = (
-    ("reserved", 3, 0.9, "rights reserved", "(?:all|some|no) rights(?: are)? reserved"),
+    ("reserved", 3, 0.9, "reserved", "(?:all|some|no) rights(?: are)? reserved"),
     ("reserved", 4, 0.95, "rights reserved", "copyright (?:c )?(?:\\d{4} )*(?:\\S+ ){0,6}?all rights reserved"),
     ("copyright", 2, 0.6, "copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)*"),
     ("copyright", 1, 0.4, "copyright", "(?:copyright|copyrighted) (?:notice|holders?|owners?|material|work|protected|by)"),
@@ -95,11 +95,11 @@ OTHERS = (
     ("permissive", 3, 0.8, "permission is hereby granted", "permission is hereby granted(?: free of charge)?"),
     ("permissive", 3, 0.8, "redistribution and use", "redistribution and use in source and binary forms"),
     ("disclaimer", 2, 0.5, "as is", "provided (?:by \\S+ )?as is"),
-    ("disclaimer", 2, 0.5, "without warranty", "without warrant(?:y|ies) of any kind"),
+    ("disclaimer", 2, 0.5, "without warrant", "without warrant(?:y|ies) of any kind"),
     ("eula", 3, 0.8, "user licen", "end user licen[cs]e agreement"),
     ("trademark", 1, 0.3, "trademark", "(?:registered )?trademarks? of"),
 )
-#: A text with none of these has no rule's keyword.
+#: A text with none of these meets no rule.
 GATES = ("licen", "copyright", "reserved", "spdx", "gpl", " mit ", "apache", "bsd", "wtfpl", "cc0", "cc by", "commons", "domain", "proprietary", "prohibited", "permission", "redistribution", " as is ", "warrant", "trademark", " x11 ", "odbl")
 
 
@@ -107,14 +107,14 @@ class Rule(NamedTuple):
     label: str
     priority: int
     weight: float
-    keyword: str
+    keywords: tuple[str, ...]
     regex: str
 
 
 def rules() -> list[Rule]:
     """All rules in order: of equal detections the earlier rule's stays."""
-    named = [Rule(label, p, w, keyword, form.format(names)) for p, w, form in FORMS for label, keyword, names in FAMILIES]
-    return sorted([*named, *(Rule(*r) for r in OTHERS)], key=lambda r: -r.priority)
+    named = [Rule(label, p, w, tuple(keywords.split("|")), form.format(names)) for p, w, form in FORMS for label, keywords, names in FAMILIES]
+    return sorted([*named, *(Rule(label, p, w, tuple(keywords.split("|")), regex) for label, p, w, keywords, regex in OTHERS)], key=lambda r: -r.priority)
 
 
 def normal(text: Column) -> Column:
@@ -134,8 +134,8 @@ def spaces(s: Column) -> Column:
 def _hits(norm: Column) -> Column:
     """Detections of a gated text: start, end (code points of the normal text), priority, rule, label, weight."""
     table = rules()
-    array = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(i).alias("rule")) for i, r in enumerate(table)))
-    met = F.filter(array, lambda r: F.contains(norm, r["keyword"]))
+    array = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(i).alias("rule")) for i, r in enumerate(table)))
+    met = F.filter(array, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k)))
     one = lambda r: F.transform(matches(norm, r["regex"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("end"), (-r["priority"]).alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))
     # by start, then the longest, the highest priority and the first rule: whatever contains another comes before it
     return F.array_sort(F.flatten(F.transform(met, one)))

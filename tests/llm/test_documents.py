@@ -16,7 +16,7 @@ from trilith.llm import language_id, licenses, packing, pii, piece_tokenizer, qu
 from trilith.llm.ngram_jaccard import drop_near_duplicates, jaccard_components
 from trilith.llm.substring_dedup import drop_repeats, repeated_paths
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, spans string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, spans string, label string, key_id string, key_hash string, _cuts string, `my col.x` string, row string, carried string, paths string"
 R = random.Random(3)
 VOCAB = ["".join(R.choice("abcdefghijk") for _ in range(R.randint(1, 7))) for _ in range(400)]
 
@@ -28,6 +28,12 @@ def prose(n):
 PASSAGE, BASE = prose(60), prose(120)
 
 
+def twins(n=1024):
+    """Two words of n letters that are equal under any polynomial hash modulo 2 ** 64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @functools.cache
 def texts():
     near = BASE.split()
@@ -40,19 +46,27 @@ def texts():
         "go " * 300, prose(20000), prose(35), "a" * 30000, "café 日本語     x", "\x00\x01\x02 ﻿ end", "12 34 56 !!! ...",
         "mail a.b+c@d-e.fr, x@y, a@b.c_d@e.f; ip 1.2.3.4.5.6.7.8 300.1.1.1 001.2.3.4", "card 4111 1111 1111 1111 or 4111-1111-1111-1112, call +1 (555) 123-4567 now",
         "CC-BY cc by; Cc.By", "GNU General Public License. All rights reserved. all RIGHTS reserved", "▁ mark ▁▁ and  two spaces ", "<|endoftext|> x <0x0A>",
+        *(" ".join([w] * 41) for w in twins()), *(" ".join(w if i % 5 == 0 else f"w{i}" for i in range(45)) for w in twins()),
     ]
 
 
+@functools.cache
 def rows():
-    out = [Row(doc_id=i, text=t, lang="en", source="s", n_chars=0, n_words=7, spans="old", label="old") for i, t in enumerate(texts())]
-    out += [out[6], out[11], Row(doc_id=12, text="another text of a repeated id", lang=None, source=None, n_chars=None, n_words=None, spans=None, label=None)]
-    return out + [Row(doc_id=None, text=BASE, lang=None, source=None, n_chars=None, n_words=None, spans=None, label=None)]
+    clash = dict.fromkeys(("key_id", "key_hash", "_cuts", "my col.x", "row", "carried", "paths"), "mine")
+    out = [Row(doc_id=i, text=t, lang="en", source="s", n_chars=0, n_words=7, spans="old", label="old", **clash) for i, t in enumerate(texts())]
+    none = dict.fromkeys(("lang", "source", "n_chars", "n_words", "spans", "label", *clash))
+    out += [out[6], out[11], out[6], out[15], Row(doc_id=12, text="another text of a repeated id", **none)]
+    return out + [Row(doc_id=None, text=BASE, **none), Row(doc_id=None, text=prose(50), **none)] * 2
 
 
 @pytest.fixture(scope="module")
 def docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
-    spark.createDataFrame(rows(), SCHEMA).repartition(3, "text").write.parquet(path)
+    # rows that repeat one another lie in different files
+    n, parts = len(texts()), []
+    for some in (rows()[: n // 2], rows()[n // 2 : n], rows()[n : n + 3], rows()[n + 3 : n + 7], rows()[n + 7 :]):
+        parts.append(spark.createDataFrame(some, SCHEMA).coalesce(1))
+    functools.reduce(lambda a, b: a.union(b), parts).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -127,8 +141,11 @@ def test_near_duplicates_keep_one_of_each_group(docs):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     got = counted(r.doc_id for r in kept.collect())
-    assert got[None] == 1 and got[6] == 0 and got[7] == 0 and got[8] == 0 and got[10] == 0  # the null id is the smallest
-    assert all(got[i] == 1 for i in (0, 1, 2, 3, 9, 15, 16)) and got[11] == 2 and got[12] == 2
+    assert got[None] == 4 and got[6] == 0 and got[7] == 0 and got[8] == 0 and got[10] == 0  # the null id is the smallest
+    assert all(got[i] == 1 for i in (0, 1, 2, 3, 9, 16)) and got[11] == 2 and got[15] == 2 and got[12] == 2
+    assert {r.key_id for r in kept.collect()} <= {"mine", None} and {r["my col.x"] for r in kept.collect()} <= {"mine", None}
+    once = drop_near_duplicates(docs, one_row=True)
+    assert once.columns == docs.columns and {k: v for k, v in counted(r.doc_id for r in once.collect()).items() if v > 1} == {12: 2, None: 2}
 
 
 def test_substring_dedup(docs, none):
@@ -142,9 +159,12 @@ def test_substring_dedup(docs, none):
                 gone[i : i + 35] = [True] * 35
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         want.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
-    frame = drop_repeats(docs, range_chars=40000)
-    got = frame.collect()
-    assert counted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == counted(want)
+    for bits in (64, 7):  # with 7 bits nearly all windows meet others' hashes, and only their words tell them apart
+        frame = drop_repeats(docs, range_chars=40000, bits=bits)
+        got = frame.collect()
+        assert counted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == counted(want)
+        assert all(r["my col.x"] in ("mine", None) and r.key_id in ("mine", None) for r in got) and set(docs.columns) < set(frame.columns)
+    assert sum(r.n_removed for r in got if r.doc_id is None) > 0 and not any(r.n_removed for r in got if r.doc_id in (len(texts()) - 1, len(texts()) - 2))
     assert drop_repeats(none).count() == 0
     paths = repeated_paths(docs).collect()
     assert paths and all(p.places > 1 for p in paths)

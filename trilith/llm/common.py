@@ -3,32 +3,41 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes; an odd number has an inverse modulo 2**64.
-WORD_P, WINDOW_P = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-MASK = (1 << 64) - 1
+#: An odd multiplier: what stands left counts other than what stands right.
+LEFT = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that a task hashes at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 NULL_ID = -(1 << 63)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The shared folder in spark.checkpoint.dir; where the session names none, one on this machine, in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix=f"trilith-{purpose}-")
+    return folder
 
-    Only where the session names no folder (as in tests) one is made here.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trilith-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
@@ -66,24 +75,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse, as far as they were needed."""
-
-    def __init__(self, p: int) -> None:
-        self.p, self.n = p, 0
-        self.up = self.down = np.ones(0, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, self.n + self.n // 4, 1 << 16)
-            for name, base in (("up", self.p), ("down", pow(self.p, -1, 1 << 64))):
-                a = np.full(self.n, base, U64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
-
-
-_words, _windows = Powers(WORD_P), Powers(WINDOW_P)
+#: Random numbers for each byte at each of the first places of a word; sums of them are the hashes of words.
+PLACES = 64
+_VALUES = tuple(mix(np.arange(PLACES << 8, dtype=U64) * LEFT + U64(seed)) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -96,31 +90,69 @@ class Words:
         if lower:
             joined = joined.lower()
         self.joined = joined
-        buf = np.frombuffer(joined, np.uint8)
-        word = ~_SPACE[buf]
+        self.buf = np.frombuffer(joined, np.uint8)
+        word = ~_SPACE[self.buf]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edge = np.concatenate([np.zeros(1, edge.dtype), edge])
         self.starts, self.ends = edge[0::2], edge[1::2]
-        up, down = _words.to(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, U64)
-        np.cumsum((buf.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        self.hash = mix(h + (self.ends - self.starts).astype(U64) * U64(0xA0761D6478BD642F))
+        self.hash = self.hashed(0)
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.doc = (np.searchsorted(np.cumsum(sizes), self.starts, "right")).astype(np.int32)
         self.count = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]]).astype(np.int64)
 
+    def hashed(self, which: int) -> np.ndarray:
+        """The hash of each word by the first or the second table of random numbers, independent of one another.
+
+        Works through runs of words of some bytes each, so that a long text needs little more memory than its words.
+        """
+        values, size = _VALUES[which], self.ends - self.starts
+        out = size.astype(U64) * U64(0xA0761D6478BD642F)
+        total = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + CHUNK_BYTES, CHUNK_BYTES)).clip(0, len(size)))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            each, first = size[a:b], total[a:b] - total[a]
+            place = np.arange(total[b] - total[a], dtype=np.int32) - np.repeat(first.astype(np.int32), each)
+            raw = self.buf[self.starts[a] : self.ends[b - 1]]
+            terms = values[(place & (PLACES - 1)) << 8 | raw[~_SPACE[raw]]]
+            if each.max() > PLACES:
+                late = np.flatnonzero(place >= PLACES)
+                terms[late] = mix(terms[late] ^ (place[late] // PLACES).astype(U64) * LEFT)
+            out[a:b] += np.add.reduceat(terms, first)
+        return mix(out)
+
+
+    def spaced(self, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+        """The words (those to keep) with one space after each, and where each begins there, with the end of all."""
+        size = self.ends - self.starts
+        if keep is None:
+            raw = self.buf[~_SPACE[self.buf]]
+        else:
+            raw = self.buf[~_SPACE[self.buf]][np.repeat(keep, size)]
+            size = size[keep]
+        at = np.concatenate([[0], np.cumsum(size + 1)])
+        out = np.full(at[-1], 0x20, np.uint8)
+        word = np.ones(at[-1], bool)
+        word[at[1:] - 1] = False
+        out[word] = raw
+        return out.tobytes(), at
+
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive entries; len(h) - k + 1 of them."""
-    if len(h) < k:
+    """A hash of each k consecutive entries, len(h) - k + 1 of them: halves are mixed into one, by doubling."""
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    up, down = _windows.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+    out, at, size, level = None, 0, 1, h
+    while True:
+        if k & size:
+            part = level[at : at + n]
+            out, at = part if out is None else mix(out * LEFT + part), at + size
+        if 2 * size > k:
+            return out.copy() if out.base is not None else out
+        level = mix(level[:-size] * LEFT + level[size:])
+        size *= 2
 
 
 def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
@@ -146,6 +178,15 @@ def unplanes(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(n, -1).T).view(dtype).ravel() if b else np.zeros(0, dtype)
 
 
+def packed_sorted(a: np.ndarray) -> bytes:
+    """Sorted numbers as their differences: the fewer bytes that aren't zero, the denser they lie."""
+    return planes(np.diff(a, prepend=a.dtype.type(0))) if len(a) else b""
+
+
+def unpacked_sorted(b: bytes, dtype: type) -> np.ndarray:
+    return np.cumsum(unplanes(b, dtype), dtype=dtype)
+
+
 def keys_of(part: pa.RecordBatch) -> np.ndarray:
     """Two columns of whole numbers, key_id and key_hash, as one array of pairs."""
     return np.stack([np.asarray(part.column("key_id")), np.asarray(part.column("key_hash"))], axis=1).astype(np.int64)
@@ -161,10 +202,14 @@ def blocks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BLOCK)], schema=BLOCK)
 
 
-def chunk_id(keys: np.ndarray) -> int:
-    """From all keys in their order, so that it is the same when a lost task runs again over the same rows."""
-    flat = keys.astype(np.int64).ravel().view(U64)
-    return int(mix(window_hashes(flat, len(flat)) ^ U64(len(flat))).view(np.int64)[0]) if len(flat) else 0
+def chunk_ids() -> Iterator[int]:
+    """Numbers for the chunks of the task's partition, unlike those of other partitions and the same when a lost task runs again."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
+def own_bucket(chunk: int) -> int:
+    """A negative bucket for what a chunk keeps of itself, so that such rows spread."""
+    return -1 - int(mix(np.array([chunk], U64))[0] >> U64(2))
 
 
 def bucket_bounds(n: int) -> np.ndarray:
@@ -177,6 +222,17 @@ def runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def schema(docs: DataFrame, names: list[str], **more: str) -> StructType:
+    """Columns of docs, and further ones by name and type."""
+    fields = [StructField(n, docs.schema[n].dataType) for n in names]
+    return StructType([*fields, *(StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in more.items())])
+
+
 def crc32_mod4_is_2(c: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 

@@ -11,7 +11,8 @@ held as blocks (a chunk of documents by a range of shingle hashes). The steps:
    on the overlap makes necessary, and is first compared with one leader that shares one of these (a star, linear in
    the index). Then classes that share an indexed shingle, are not yet in the same group and pass the bounds on size
    and position are compared; very frequent shingles are compared in blocks of classes.
-4. Overlaps are counted on the packed rows, and links become components.
+4. Overlaps of blocks of pairs accumulate in a sparse product of their packed rows, restricted to the entries that the
+   bounds left, and links become components.
 
 Nothing is capped: the bounds discard only pairs that can't reach the threshold.
 """
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, checkpointed, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, release, runs, total_chars, unplanes, window_hashes, with_key
+from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, checkpointed, chunk_ids, chunks, keys_of, mix, own_bucket, packed_sorted, partitions_for, planes, read, release, runs, total_chars, unpacked_sorted, unplanes, window_hashes, with_key
 from .components import connected_components
 
 #: Classes of a frequent shingle that one task compares with as many others.
@@ -67,7 +69,7 @@ def _deal(k: int, ranges: int):
     bounds = bucket_bounds(ranges) >> U64(64 - HASH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for me, (part, texts) in zip(chunk_ids(), chunks(batches)):
             keys = keys_of(part)
             h, doc, _ = shingle_sets(texts, k)
             sign = np.zeros((len(texts), 2), U64)
@@ -78,9 +80,8 @@ def _deal(k: int, ranges: int):
             at = runs(h)
             count = np.diff(np.append(at, len(h)))
             alone = np.repeat(count == 1, count)
-            me = chunk_id(keys)
             local = np.flatnonzero(~alone)
-            out = [(-1 - (me & 0x7FFFFFFF), me, 2, np.concatenate([keys.view(U64), size[:, None].view(U64), sign], axis=1).tobytes(), planes(h[local]), doc[local].astype(np.uint32).tobytes())]
+            out = [(own_bucket(me), me, 2, np.concatenate([keys.view(U64), size[:, None].view(U64), sign], axis=1).tobytes(), packed_sorted(h[local]), planes(doc[local].astype(np.uint32)))]
             several, n_several = h[at[count > 1]], count[count > 1].astype(np.uint32)
             h, doc = h[alone], doc[alone].astype(np.uint16 if len(texts) < 1 << 16 else np.uint32)
             cut = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
@@ -88,17 +89,17 @@ def _deal(k: int, ranges: int):
             for b in range(ranges):
                 if cut[b] < cut[b + 1]:
                     s = slice(cut[b], cut[b + 1])
-                    out.append((b, me, 0, planes(h[s]), doc[s].tobytes(), bytes([doc.itemsize])))
+                    out.append((b, me, 0, packed_sorted(h[s]), planes(doc[s]), bytes([doc.itemsize])))
                 if cuts[b] < cuts[b + 1]:
                     s = slice(cuts[b], cuts[b + 1])
-                    out.append((b, me, 1, planes(several[s]), n_several[s].tobytes()))
+                    out.append((b, me, 1, packed_sorted(several[s]), planes(n_several[s])))
             yield blocks(out)
 
     return run
 
 
 def _docs_of(row: dict) -> np.ndarray:
-    return np.frombuffer(row["b"], np.uint16 if row["c"] == b"\2" else np.uint32).astype(np.uint32)
+    return unplanes(row["b"], np.uint16 if row["c"] == b"\2" else np.uint32).astype(np.uint32)
 
 
 def _count(group: pa.Table) -> pa.Table:
@@ -106,9 +107,9 @@ def _count(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     if rows[0]["kind"] == 2:
         return group
-    hashes = [unplanes(r["a"], U64) for r in rows]
+    hashes = [unpacked_sorted(r["a"], U64) for r in rows]
     h = np.concatenate(hashes)
-    n = np.concatenate([np.ones(len(x), np.uint32) if r["kind"] == 0 else np.frombuffer(r["b"], np.uint32) for x, r in zip(hashes, rows)])
+    n = np.concatenate([np.ones(len(x), np.uint32) if r["kind"] == 0 else unplanes(r["b"], np.uint32) for x, r in zip(hashes, rows)])
     order = np.argsort(h)
     at = runs(h[order])
     total = np.add.reduceat(n[order].astype(np.int64), at)
@@ -121,7 +122,7 @@ def _count(group: pa.Table) -> pa.Table:
         start += len(x)
         some = d > 1
         if some.any():
-            out.append((0, r["chunk"], r["kind"], planes(x[some]), d[some].tobytes(), _docs_of(r)[some].tobytes() if r["kind"] == 0 else None))
+            out.append((0, r["chunk"], r["kind"], packed_sorted(x[some]), planes(d[some]), planes(_docs_of(r)[some]) if r["kind"] == 0 else None))
     return pa.Table.from_batches([blocks(out)])
 
 
@@ -150,16 +151,16 @@ def _assemble(percent: int):
         if me is None:
             raise ValueError("a chunk came without its documents: the input has to give the same rows in the same order each time it is read; checkpoint it first")
         table = np.frombuffer(me["a"], np.int64).reshape(-1, 5)
-        own, who = unplanes(me["b"], U64), np.frombuffer(me["c"], np.uint32)
+        own, who = unpacked_sorted(me["b"], U64), unplanes(me["c"], np.uint32)
         known = [r for r in rows if r["kind"] == 1]
-        kh = np.concatenate([unplanes(r["a"], U64) for r in known] or [np.zeros(0, U64)])
-        kd = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in known] or [np.zeros(0, np.uint32)])
+        kh = np.concatenate([unpacked_sorted(r["a"], U64) for r in known] or [np.zeros(0, U64)])
+        kd = np.concatenate([unplanes(r["b"], np.uint32) for r in known] or [np.zeros(0, np.uint32)])
         order = np.argsort(kh)
         own_df = kd[order][np.searchsorted(kh[order], own)] if len(own) else np.zeros(0, np.uint32)
         single = [r for r in rows if r["kind"] == 0]
-        h = np.concatenate([own, *(unplanes(r["a"], U64) for r in single)])
-        df = np.concatenate([own_df, *(np.frombuffer(r["b"], np.uint32) for r in single)])
-        doc = np.concatenate([who, *(np.frombuffer(r["c"], np.uint32) for r in single)]).astype(np.int64)
+        h = np.concatenate([own, *(unpacked_sorted(r["a"], U64) for r in single)])
+        df = np.concatenate([own_df, *(unplanes(r["b"], np.uint32) for r in single)])
+        doc = np.concatenate([who, *(unplanes(r["c"], np.uint32) for r in single)]).astype(np.int64)
         shared = np.bincount(doc, minlength=len(table))
         may = (shared * 100 >= percent * table[:, 2]) & (table[:, 2] > 0)
         some = may[doc]
@@ -192,18 +193,38 @@ def _index(percent: int):
     return run
 
 
+#: Bytes of shingles whose overlaps are counted at once, and pairs, which share a number with a shingle.
+PRODUCT_BYTES, PRODUCT_PAIRS = 1 << 23, 1 << (64 - HASH_BITS)
+
+
+def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The entries of a sparse product that are asked for: of the i-th packed set on either side, how many shingles both hold.
+
+    The product accumulates over the shingles of all pairs at once: an entry for a pair and a shingle stands twice
+    among the sorted ones where both sides have it.
+    """
+    sides = []
+    for sets in (left, right):
+        pair = np.repeat(np.arange(len(sets), dtype=U64), [len(x) * 8 // HASH_BITS for x in sets])
+        sides.append(pair << U64(HASH_BITS) | unpacked(b"".join(sets)).view(U64))
+    both = np.sort(np.concatenate(sides))
+    twice = both[1:][both[1:] == both[:-1]]
+    return np.bincount((twice >> U64(HASH_BITS)).astype(np.int64), minlength=len(left))
+
+
 def _overlaps(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.asarray(batch.column(c)) for c in ("x", "y"))
             n = np.asarray(batch.column("nx")) + np.asarray(batch.column("ny"))
-            got = np.zeros(len(x), np.int64)
-            last, a = None, None
-            for i, (p, q) in enumerate(zip(batch.column("tx"), batch.column("ty"))):
-                p, q = p.as_buffer(), q.as_buffer()
-                if last != x[i]:
-                    last, a = x[i], unpacked(p)
-                got[i] = len(np.intersect1d(a, unpacked(q), assume_unique=True))
+            sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("tx"))).astype(np.int64) + np.asarray(pc.binary_length(batch.column("ty"))))
+            got, at = np.zeros(len(x), np.int64), 0
+            while at < len(x):
+                upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PRODUCT_BYTES, "right"))
+                upto = min(max(at + 1, upto), at + PRODUCT_PAIRS)
+                left, right = (batch.column(c).slice(at, upto - at).to_pylist() for c in ("tx", "ty"))
+                got[at:upto] = overlaps(left, right)
+                at = upto
             link = 100 * got >= percent * (n - got)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(link)], names=["x", "y", "link"])
 
@@ -291,19 +312,17 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, one_row
     joined = rows.join(stays, "group").where(F.struct("key_id", "key_hash") != F.col("stays")).select("key_id", "key_hash").distinct()
     goes = checkpointed(joined)
     goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
-    keyed = docs.withColumns({"_key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    on = lambda keys: (F.col("_key_id") == keys["key_id"]) & (F.col("_key_hash") == keys["key_hash"])
-    kept = keyed.join(goes, on(goes), "left_anti")
-    if not one_row:
-        return kept.select(*docs.columns)
-    again = checkpointed(rows.groupBy("key_id", "key_hash").agg(F.count("*").alias("n")).where("n > 1").select("key_id", "key_hash"))
-    n_again = again.count()
-    if not n_again:
-        return kept.select(*docs.columns)
-    again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
-    row = F.struct(*docs.columns)
-    one = kept.join(again, on(again), "left_semi").groupBy("_key_id", "_key_hash").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-    return kept.join(again, on(again), "left_anti").select(*docs.columns).union(one)
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"))
+    key = ["key_id", "key_hash"]
+    kept = keyed.join(goes, key, "left_anti")
+    if one_row:
+        again = checkpointed(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+        n_again = again.count()
+        if n_again:
+            again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
+            one = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+            kept = kept.join(again, key, "left_anti").select("row").union(one.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

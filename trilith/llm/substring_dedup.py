@@ -4,10 +4,14 @@ Edges are windows of `length` consecutive words, nodes their (length - 1)-word o
 
 1. Seeds: of every window the least hashed `seed`-word mer is its seed; equal windows have equal seeds, and there are
    few seeds. Seeds are counted over the corpus; a window whose seed stands once is not repeated.
-2. Edges: the windows left are counted by 96 bits of hashes. Each repeated edge also learns whether all its places
-   agree on the word before it and the word after it, that is, whether the path forks there.
-3. Compaction: along the coordinates of a document, repeated edges that follow one another without a fork are one
-   path; the paths come back to the documents through a join, and the words under them go.
+2. Edges: the windows left meet by 96 bits of hashes. Each repeated edge learns whether all its places agree on the word
+   before it and the word after it, that is, whether a path forks there.
+3. Compaction: repeated edges that follow one another without a fork are one path. Where a path lies in a document are
+   its source coordinates.
+4. Verification: the words of every path are read at its source coordinates, and a path is repeated where two places
+   hold the same words (a 128-bit BLAKE2 digest of them). All places of a nonbranching path do, unless different words
+   had equal hashes; the windows of such a path are then compared one by one, words with words, so hashes never decide.
+5. The words under what is verified go.
 
 Both counts deal hash ranges out to tasks; what a chunk of documents holds several times travels once with a count,
 so a passage that a third of all documents share floods no task.
@@ -23,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, chunk_id, chunks, keys_of, mix, partitions_for, planes, read, total_chars, unplanes, window_hashes, with_key
+from .common import BLOCK_DDL, NULL_ID, U64, Words, blocks, bucket_bounds, checkpointed, chunk_ids, chunks, column, keys_of, own_bucket, packed_sorted, partitions_for, planes, read, release, schema, total_chars, unpacked_sorted, unplanes, window_hashes, with_key
 
 RANGE_CHARS = 1 << 23
 #: Entries of the exchange: hash, second hash, word before, word after.
-EDGE = np.dtype([("h", "u8"), ("check", "u4"), ("before", "u2"), ("after", "u2")])
+EDGE = np.dtype([("h", "u8"), ("check", "u4"), ("before", "u4"), ("after", "u4")])
 #: Stands for words that differ from place to place.
-FORK = np.uint16(0xFFFF)
+FORK = np.uint32(0xFFFFFFFF)
 FORKS_BEFORE, FORKS_AFTER = 1, 2
+#: Bits of a bitmap of window hashes.
+FILTER = 1 << 15
 
 
 def seed_places(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +61,7 @@ def seed_places(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.nd
     return starts, place[starts]
 
 
-def _pack(keys: np.ndarray, words: Words, edge: np.ndarray, ref: np.ndarray, ranges: int, bounds: np.ndarray) -> pa.RecordBatch:
+def _pack(me: int, keys: np.ndarray, words: Words, edge: np.ndarray, ref: np.ndarray, ranges: int, bounds: np.ndarray) -> pa.RecordBatch:
     """kind 0: entries that stand once in the chunk, with their places; 1: entries that stand more often, with counts;
     2: the chunk's documents, and the places of the entries of kind 1."""
     order = np.lexsort((edge["check"], edge["h"]))
@@ -65,11 +71,10 @@ def _pack(keys: np.ndarray, words: Words, edge: np.ndarray, ref: np.ndarray, ran
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(edge)))
     alone = np.repeat(count == 1, count)
-    me = chunk_id(keys)
     table = np.concatenate([keys, words.first[:, None], words.count[:, None]], axis=1)
     local = ~alone
     several, n_several = edge[at[count > 1]].copy(), count[count > 1].astype(np.uint32)
-    out = [(-1 - (me & 0x7FFFFFFF), me, 2, table.tobytes(), n_several.tobytes(), ref[local].tobytes())]
+    out = [(own_bucket(me), me, 2, table.tobytes(), n_several.tobytes(), ref[local].tobytes())]
     if len(several):
         for side in ("before", "after"):
             low, high = np.minimum.reduceat(edge[side], at)[count > 1], np.maximum.reduceat(edge[side], at)[count > 1]
@@ -77,7 +82,7 @@ def _pack(keys: np.ndarray, words: Words, edge: np.ndarray, ref: np.ndarray, ran
     edge, ref = edge[alone], ref[alone]
     for kind, e, x in ((0, edge, ref), (1, several, n_several)):
         cut = np.concatenate([[0], np.searchsorted(e["h"], bounds), [len(e)]])
-        out += [(b, me, kind, planes(np.ascontiguousarray(e["h"][s])), planes(np.ascontiguousarray(e["check"][s])), np.stack([e["before"][s], e["after"][s]]).tobytes(), x[s].tobytes()) for b in range(ranges) if cut[b] < cut[b + 1] for s in [slice(cut[b], cut[b + 1])]]
+        out += [(b, me, kind, packed_sorted(e["h"][s]), planes(np.ascontiguousarray(e["check"][s])), planes(np.concatenate([e["before"][s], e["after"][s]])), planes(x[s])) for b in range(ranges) if cut[b] < cut[b + 1] for s in [slice(cut[b], cut[b + 1])]]
     return blocks(out)
 
 
@@ -85,21 +90,25 @@ def _deal_seeds(length: int, seed: int, ranges: int):
     bounds = bucket_bounds(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for me, (part, texts) in zip(chunk_ids(), chunks(batches)):
             words = Words(texts)
             ref = np.unique(seed_places(words, length, seed)[1])
             edge = np.zeros(len(ref), EDGE)
             edge["h"] = window_hashes(words.hash, seed)[ref]
-            yield _pack(keys_of(part), words, edge, ref, ranges, bounds)
+            yield _pack(me, keys_of(part), words, edge, ref, ranges, bounds)
 
     return run
 
 
-def _deal_edges(length: int, seed: int, ranges: int):
-    bounds = bucket_bounds(ranges)
+def _windows(words: Words, length: int, bits: int) -> np.ndarray:
+    return window_hashes(words.hash, length) & U64((1 << bits) - 1)
+
+
+def _deal_edges(length: int, seed: int, ranges: int, bits: int):
+    bounds = bucket_bounds(ranges) >> U64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for me, (part, texts) in zip(chunk_ids(), chunks(batches)):
             words = Words(texts)
             starts, place = seed_places(words, length, seed)
             seeds = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + f for x, f in zip(part.column("places").to_pylist(), words.first)])
@@ -107,15 +116,16 @@ def _deal_edges(length: int, seed: int, ranges: int):
             known[seeds] = True
             ref = starts[known[place]]
             edge = np.zeros(len(ref), EDGE)
-            edge["h"] = window_hashes(words.hash, length)[ref]
-            edge["check"] = window_hashes(mix(words.hash ^ U64(0x2545F4914F6CDD1D)), length)[ref] >> U64(32)
+            edge["h"] = _windows(words, length, bits)[ref]
+            if bits > 32:
+                edge["check"] = window_hashes(words.hashed(1), length)[ref] >> U64(32)
             # the words around a window; 0 is the edge of a document
-            around = np.concatenate([[0], 1 + words.hash % U64(0xFFFE), [0]]).astype(np.uint16)
+            around = np.concatenate([[0], 1 + words.hash % U64(0xFFFFFFFE), [0]]).astype(np.uint32)
             doc = np.concatenate([[-1], words.doc, [-1]])
             mine = words.doc[ref]
             edge["before"] = np.where(doc[ref] == mine, around[ref], 0)
             edge["after"] = np.where(doc[ref + length + 1] == mine, around[ref + length + 1], 0)
-            yield _pack(keys_of(part), words, edge, ref, ranges, bounds)
+            yield _pack(me, keys_of(part), words, edge, ref, ranges, bounds)
 
     return run
 
@@ -125,12 +135,12 @@ def _count(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     if rows[0]["kind"] == 2:
         return group
-    sizes = [len(r["a"]) // 8 for r in rows]
+    sizes = [len(r["b"]) // 4 for r in rows]
     edge = np.zeros(sum(sizes), EDGE)
-    edge["h"] = np.concatenate([unplanes(r["a"], U64) for r in rows])
+    edge["h"] = np.concatenate([unpacked_sorted(r["a"], U64) for r in rows])
     edge["check"] = np.concatenate([unplanes(r["b"], np.uint32) for r in rows])
-    around = np.concatenate([np.frombuffer(r["c"], np.uint16).reshape(2, -1) for r in rows], axis=1)
-    n = np.concatenate([np.ones(s, np.int64) if r["kind"] == 0 else np.frombuffer(r["d"], np.uint32) for s, r in zip(sizes, rows)])
+    around = np.concatenate([unplanes(r["c"], np.uint32).reshape(2, -1) for r in rows], axis=1)
+    n = np.concatenate([np.ones(s, np.int64) if r["kind"] == 0 else unplanes(r["d"], np.uint32) for s, r in zip(sizes, rows)])
     order = np.lexsort((edge["check"], edge["h"]))
     new = np.ones(len(edge), bool)
     h, check = edge["h"][order], edge["check"][order]
@@ -148,7 +158,7 @@ def _count(group: pa.Table) -> pa.Table:
         f = back[start : start + size]
         some = f != 255
         if some.any() and r["kind"] == 0:
-            out.append((0, r["chunk"], 0, None, None, f[some].tobytes(), np.frombuffer(r["d"], np.uint32)[some].tobytes()))
+            out.append((0, r["chunk"], 0, None, None, f[some].tobytes(), planes(unplanes(r["d"], np.uint32)[some])))
         elif some.any():
             out.append((r["bucket"], r["chunk"], 1, None, None, f.tobytes()))
         start += size
@@ -171,7 +181,7 @@ def _places(group: pa.Table) -> pa.Table:
     # flags return by range in the order of the hashes, as the chunk has its places
     known = b"".join(r["c"] for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["bucket"]))
     own_flags = np.repeat(np.frombuffer(known, np.uint8), count)
-    ref = np.concatenate([who, *(np.frombuffer(r["d"], np.uint32) for r in single)]).astype(np.int64)
+    ref = np.concatenate([who, *(unplanes(r["d"], np.uint32) for r in single)]).astype(np.int64)
     flags = np.concatenate([own_flags, *(np.frombuffer(r["c"], np.uint8) for r in single)])
     order = np.argsort(ref)
     ref, flags = ref[order], flags[order]
@@ -193,91 +203,160 @@ def compacted(places: bytes, forks: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def _kept(length: int):
+def _paths(length: int):
+    """Documents with the places of repeated edges -> their paths: pairs of first window and number of windows, and a digest of the words each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            out = []
-            for text, places, forks in zip(texts, part.column("places").to_pylist(), part.column("forks").to_pylist()):
-                words = text.split()
-                n, removed = len(words), 0
-                if places:
-                    start, size = compacted(places, forks)
-                    step = np.zeros(n + 1, np.int32)
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + size + length - 1, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    removed = int(gone.sum())
-                    if removed:
-                        words = [w for w, g in zip(words, gone.tolist()) if not g]
-                kept = b" ".join(words)
-                out.append((kept if removed else text, n, removed, hashlib.sha256(kept).hexdigest()))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))]
-            carried = [c for c in part.schema.names if c not in ("text", "places", "forks")]
-            yield pa.RecordBatch.from_arrays([*map(part.column, carried), cols[0].cast(pa.string()), *cols[1:]], names=[*carried, "text", "n_words", "n_removed", "kept_sha256"])
+            words = Words(texts)
+            raw, at = words.spaced()
+            paths, digests = [], []
+            for first, places, forks in zip(words.first.tolist(), part.column("places").to_pylist(), part.column("forks").to_pylist()):
+                start, size = compacted(places, forks)
+                paths.append(np.stack([start, size], axis=1).astype(np.uint32).tobytes())
+                ends = zip(at[first + start].tolist(), (at[first + start + size + length - 1] - 1).tolist())
+                digests.append(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in ends))
+            yield pa.RecordBatch.from_arrays([part.column("key_id"), part.column("key_hash"), pa.array(paths, pa.binary()), pa.array(digests, pa.binary())], names=["key_id", "key_hash", "paths", "digests"])
+
+    return run
+
+
+PATHS_DDL = "key_id long, key_hash long, paths binary, digests binary"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _paths -> a row for each path."""
+    for batch in batches:
+        paths, digests = batch.column("paths").to_pylist(), batch.column("digests").to_pylist()
+        row = np.repeat(np.arange(len(paths)), [len(p) // 8 for p in paths])
+        pair = np.frombuffer(b"".join(paths), np.uint32).reshape(-1, 2).astype(np.int64)
+        digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(b"".join(digests))]).cast(pa.binary())
+        keys = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("key_id", "key_hash"))
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(pair[:, 0]), pa.array(pair[:, 1]), digest], names=["key_id", "key_hash", "start", "size", "digest"])
+
+
+DIGESTS_DDL = "key_id long, key_hash long, start long, size long, digest binary"
+
+
+def _each_window(length: int, bits: int, seen: bytes | None):
+    """Documents with paths -> windows of the paths, with a digest of their words; with `seen` only those whose hash is in that bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            words = Words(texts)
+            raw, at = words.spaced()
+            h = _windows(words, length, bits)
+            for i, (first, paths) in enumerate(zip(words.first.tolist(), part.column("paths").to_pylist())):
+                pair = np.frombuffer(paths, np.uint32).reshape(-1, 2).astype(np.int64)
+                window = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + n) for s, n in pair)])
+                if seen is not None:
+                    bit = h[first + window] % U64(FILTER)
+                    window = window[np.unpackbits(np.frombuffer(seen, np.uint8), bitorder="little")[bit] > 0]
+                digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[first + window].tolist(), (at[first + window + length] - 1).tolist())]
+                keys = (pa.array(np.full(len(window), part.column(c)[i].as_py(), np.int64)) for c in ("key_id", "key_hash"))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(window), pa.array((h[first + window] % U64(FILTER)).astype(np.int64)), pa.array(digest, pa.binary())], names=["key_id", "key_hash", "window", "bit", "digest"])
 
     return run
 
 
-def _repeated(docs: DataFrame, length: int, seed: int | None, range_chars: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(documents dealt out by key, with the columns to carry; places of repeated edges by key)."""
-    seed = seed or max(1, length * 4 // 7)
-    ranges = partitions_for(total_chars(docs), range_chars)
-    keyed = with_key(docs.select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    whole = docs.select(F.struct(*carry).alias("_carried"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(text).alias("key_hash"), text.alias("text"))
-    # both joins below read the texts from this one exchange
-    dealt = whole.repartition(ranges, "key_id", "key_hash")
+WINDOWS_DDL = "key_id long, key_hash long, window long, bit long, digest binary"
+
+
+class Repeats:
+    """What is repeated in docs: source coordinates of nonbranching paths, and the windows in them that no other words equal."""
+
+    def __init__(self, docs: DataFrame, length: int, seed: int | None, range_chars: int, bits: int) -> None:
+        if length < 2:
+            raise ValueError("length must be at least 2")
+        self.ranges = partitions_for(total_chars(docs), range_chars)
+        seed = seed or max(1, length * 4 // 7)
+        keyed = with_key(docs.select("doc_id", "text")).select("key_id", "key_hash", "text")
+        dealt = keyed.repartition(self.ranges, "key_id", "key_hash")  # both joins below read the texts from this one exchange
+
+        def exchange(frame: DataFrame, deal) -> DataFrame:
+            found = frame.mapInArrow(deal, BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
+            return found.groupBy("chunk").applyInArrow(_places, PLACES_DDL).dropDuplicates(["key_id", "key_hash"])
+
+        seeds = exchange(keyed, _deal_seeds(length, seed, self.ranges))
+        seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "text")
+        edges = exchange(seeded, _deal_edges(length, seed, self.ranges, bits))
+        found = dealt.join(edges, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "forks", "text")
+        #: a row for each row of docs that has any
+        self.paths = checkpointed(found.mapInArrow(_paths(length), PATHS_DDL))
+        release(docs.sparkSession)
+        self.digests = self.paths.mapInArrow(_digests, DIGESTS_DDL)
+        once = checkpointed(self.digests.groupBy("digest").agg(F.count("*").alias("n")).where("n = 1").select("digest"))
+        #: key_id, key_hash, windows: those that stand once after all; None if hashes told no lie
+        self.single: DataFrame | None = None
+        if not once.isEmpty():
+            suspect = self.digests.join(once, "digest").select("key_id", "key_hash")
+            each = lambda rows, seen: dealt.join(rows, ["key_id", "key_hash"]).select("key_id", "key_hash", "paths", "text").mapInArrow(_each_window(length, bits, seen), WINDOWS_DDL)
+            whole = self.paths.dropDuplicates(["key_id", "key_hash"])
+            suspects = checkpointed(each(whole.join(suspect.distinct(), ["key_id", "key_hash"], "left_semi"), None))
+            seen = bytes(suspects.select(F.bitmap_construct_agg("bit")).first()[0])
+            counts = each(whole, seen).groupBy("digest").agg(F.count("*").alias("n")).where("n = 1").select("digest")
+            single = suspects.join(counts, "digest").groupBy("key_id", "key_hash").agg(F.collect_set("window").alias("single"))
+            self.single = checkpointed(single)
 
-    def exchange(frame: DataFrame, deal) -> DataFrame:
-        found = frame.mapInArrow(deal(length, seed, ranges), BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
-        return found.groupBy("chunk").applyInArrow(_places, PLACES_DDL).dropDuplicates(["key_id", "key_hash"])
 
-    seeds = exchange(keyed.select("key_id", "key_hash", "text"), _deal_seeds)
-    seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("_carried", "key_id", "key_hash", "places", "text")  # the same columns as below, or the exchange would not be shared
-    return dealt, exchange(seeded, _deal_edges)
+def _kept(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            words = Words(texts)
+            step = np.zeros(len(words.hash) + 1, np.int64)
+            for first, paths, single in zip(words.first.tolist(), part.column("paths").to_pylist(), part.column("single").to_pylist()):
+                if paths:
+                    pair = np.frombuffer(paths, np.uint32).reshape(-1, 2).astype(np.int64)
+                    start, size = pair[:, 0] + first, pair[:, 1]
+                    if single:
+                        start = np.setdiff1d(np.concatenate([np.arange(s, s + n) for s, n in zip(start, size)]), np.array(single) + first)
+                        size = np.ones(len(start), np.int64)
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + size + length - 1, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            removed = np.bincount(words.doc[gone], minlength=len(texts)).astype(np.int64)
+            raw, at = words.spaced(~gone)
+            end = np.cumsum(words.count - removed)
+            kept = [raw[a : max(a, b - 1)] for a, b in zip(at[end - words.count + removed].tolist(), at[end].tolist())]
+            text = pa.array([k if r else t for k, r, t in zip(kept, removed.tolist(), texts)], pa.binary()).cast(pa.string())
+            digest = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
+            yield pa.RecordBatch.from_arrays([part.column("carried"), text, pa.array(words.count), pa.array(removed), digest], names=["carried", "text", "n_words", "n_removed", "kept_sha256"])
+
+    return run
 
 
-def drop_repeats(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS, bits: int = 64) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns, n_words, n_removed, kept_sha256: one row per row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Every word under a window of `length` words whose word sequence
     starts anywhere else goes; the words kept are joined by one space, for the digest and, where any went, as the new
     text. A null text counts as empty; a text of fewer words than `length` keeps all; rows that repeat a doc_id, with
     equal texts or others, are documents of their own; a null doc_id stays null; other columns stay (those named as
-    the new ones are replaced); an empty table gives an empty result.
+    the new ones are replaced); an empty table gives an empty result. bits of the first hash of a window: fewer only
+    cost time.
 
     docs has to give the same rows in the same order each time it is read (files or a checkpoint).
     """
-    if length < 2:
-        raise ValueError("length must be at least 2")
-    carry = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
-    dealt, edges = _repeated(docs, length, seed, range_chars, carry)
-    joined = dealt.join(edges, ["key_id", "key_hash"], "left").select("_carried", "places", "forks", "text")
-    ddl = f"_carried {dealt.schema['_carried'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_sha256 string"
-    kept = joined.mapInArrow(_kept(length), ddl)
-    return kept.select(*("text" if c == "text" else F.col("_carried")[c].alias(c) for c in docs.columns if c in carry or c == "text"), "n_words", "n_removed", "kept_sha256")
-
-
-def _path_rows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
-            rows = []
-            for i, (text, places, forks) in enumerate(zip(texts, part.column("places").to_pylist(), part.column("forks").to_pylist())):
-                words = text.split()
-                for start, size in zip(*(x.tolist() for x in compacted(places, forks))):
-                    span = words[start : start + size + length - 1]
-                    rows.append((i, hashlib.sha256(b" ".join(span)).hexdigest(), len(span), start))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "path", "n_words", "start"])
-
-    return run
+    repeats = Repeats(docs, length, seed, range_chars, bits)
+    new = ("text", "n_words", "n_removed", "kept_sha256")
+    carry = [c for c in docs.columns if c not in new]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = docs.select(F.struct(*map(column, carry)).alias("carried"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(text).alias("key_hash"), text.alias("text"))
+    paths = repeats.paths.select("key_id", "key_hash", "paths").dropDuplicates(["key_id", "key_hash"])
+    if repeats.single is None:
+        paths = paths.withColumn("single", F.lit(None).cast("array<bigint>"))
+    else:
+        paths = paths.join(repeats.single, ["key_id", "key_hash"], "left")
+    joined = whole.join(paths, ["key_id", "key_hash"], "left").select("carried", "paths", "single", "text")
+    kept = joined.mapInArrow(_kept(length), schema(joined, ["carried", "text"], n_words="long", n_removed="long", kept_sha256="string"))
+    return kept.select(*(F.col("text") if c == "text" else F.col("carried").getField(c).alias(c) for c in docs.columns if c in carry or c == "text"), "n_words", "n_removed", "kept_sha256")
 
 
 def repeated_paths(docs: DataFrame, length: int = 35, seed: int | None = None, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """The compacted paths and their coordinates: path (sha256 of its words), n_words, doc_id, start, places (of the path)."""
-    dealt, edges = _repeated(docs, length, seed, range_chars, ["doc_id"])
-    spans = dealt.join(edges, ["key_id", "key_hash"]).select(F.col("_carried.doc_id").alias("doc_id"), "places", "forks", "text").mapInArrow(_path_rows(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string, n_words long, start long")
-    return spans.join(spans.groupBy("path").agg(F.count("*").alias("places")), "path")
+    """The compacted paths and their coordinates: path (digest of its words), n_words, key_id (doc_id), start, places (of the path)."""
+    spans = Repeats(docs, length, seed, range_chars, 64).digests
+    many = spans.groupBy("digest").agg(F.count("*").alias("places")).where("places > 1")
+    return spans.join(many, "digest").select(F.lower(F.hex("digest")).alias("path"), (F.col("size") + length - 1).alias("n_words"), F.when(F.col("key_id") != NULL_ID, F.col("key_id")).alias("doc_id"), "start", "places")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trilith.llm.common import shared_folder
 from trilith.llm.ngram_jaccard import drop_near_duplicates
 from trilith.llm.packing import pack
 from trilith.llm.pii import sanitise
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="trilith-pipeline-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage wrote goes once the next one is written; the last but one's stays, as the result reads it."""
+    shared = f"{shared_folder(spark, 'pipeline')}/pipeline-{uuid.uuid4()}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        out = f"{shared}/pipeline-{uuid.uuid4()}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{name}")
+        docs = spark.read.parquet(f"{shared}/{name}")
+        if last:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        last = f"{shared}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,6 +34,25 @@ def test_recursion(spark):
     starts = spark.createDataFrame([(1,)], "id long")
     got = sorted((r._end, len(r._edges)) for r in paths(edges, starts, 0, None).collect())
     assert got == [(1, 0), (1, 3), (2, 1), (3, 2), (4, 3)]
+    both = lambda a, b, ends: sorted((r._start, r._end, [e.id for e in r._edges]) for r in paths(edges, starts, a, b, ends).collect())
+    ends = spark.createDataFrame([(1,), (4,)], "id long")
+    assert both(0, 5, ends) == [r for r in both(0, 5, None) if r[1] in (1, 4)] and len(both(0, 5, ends)) == 3
+
+
+def test_a_fixpoint_over_many_rounds_and_nulls(spark):
+    first = spark.createDataFrame([(0, None)], "a long, b string")
+    assert sorted(r.a for r in fixpoint(first, lambda new: new.selectExpr("a + 1 AS a", "b").where("a <= 20")).collect()) == list(range(21))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trilith.operators.recursion import shared_folder
+
+    fake = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_folder(fake("spark://h:7077", "/shared")) == "/shared" and shared_folder(fake("local[2]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(fake("spark://h:7077", None))
 
 
 def test_sources(spark, tmp_path):
@@ -52,6 +71,10 @@ def test_sources(spark, tmp_path):
     n, e = graph.read_json(spark, str(tmp_path / "g.json"))
     assert n.columns == ["id", "labels"] and e.columns == ["id", "src", "dst", "type"]
     assert graph.edges_of_csv(spark, str(tmp_path / "a.csv"), "K").count() == 3
+    assert {r.type for r in graph.edges_of_csv(spark, str(tmp_path / "a.csv")).collect()} == {"a"}
+    graph.write_json(graph.Graph("g", n, e), str(tmp_path / "out"))
+    again = graph.read_json(spark, str(tmp_path / "out"))
+    assert [f.collect() for f in again] == [n.collect(), e.collect()]
 
 
 @pytest.mark.parametrize("without", [False, True])

@@ -10,11 +10,11 @@ from trilith.plans.lexer import QueryError
 @pytest.fixture(scope="module")
 def db(spark):
     e = Engine(spark)
-    e.register_table("emps", spark.createDataFrame([(1, "Alice", "eng", 100, None), (2, "Bob", "eng", 80, 1), (3, "Carol", "sales", 70, 1), (4, "Dave", "sales", 70, 3), (5, "Eve", "hr", 60, 1), (6, "Frank", None, None, 2)], "id int, name string, dept string, salary int, mgr int"))
-    e.register_table("depts", spark.createDataFrame([("eng", 1000), ("sales", 500), ("marketing", 300)], "dname string, budget int"))
-    e.register_table("nums", spark.createDataFrame([(1, 10), (2, None), (3, 30), (4, 40), (5, None)], "n int, m int"))
-    e.register_table("vals", spark.createDataFrame([(1,), (3,)], "v int"))
-    e.register_table("strs", spark.createDataFrame([("apple",), ("Banana",), ("cherry_pie",), ("",), (None,), ("100% sure",)], "s string"))
+    e.register_table("trees", spark.createDataFrame([(10, "oak", "north", 31, None), (11, "elm", "north", 22, 10), (12, "ash", "south", 17, 10), (13, "yew", "south", 17, 12), (14, "fir", "ridge", 9, 10), (15, "box", None, None, 11)], "tid int, kind string, grove string, height int, parent int"))
+    e.register_table("groves", spark.createDataFrame([("north", 70), ("south", 40), ("valley", 25)], "gname string, acres int"))
+    e.register_table("pairs", spark.createDataFrame([(2, 12), (4, None), (6, 36), (8, 48), (10, None)], "a int, b int"))
+    e.register_table("picks", spark.createDataFrame([(2,), (6,)], "p int"))
+    e.register_table("words", spark.createDataFrame([("moss",), ("Fern",), ("red_bark",), ("",), (None,), ("50% shade",)], "w string"))
     return e
 
 
@@ -23,42 +23,48 @@ def rows(db, text, **params):
 
 
 CASES = [
-    ("SELECT DISTINCT ON (dept) dept, name FROM emps ORDER BY dept, salary DESC", [("eng", "Alice"), ("hr", "Eve"), ("sales", "Carol"), (None, "Frank")]),
-    ("SELECT n FROM nums WHERE n > ALL (SELECT v FROM vals WHERE v > 100) ORDER BY n", [(1,), (2,), (3,), (4,), (5,)]),
-    ("SELECT n FROM nums WHERE n > ALL (SELECT v FROM vals) ORDER BY n", [(4,), (5,)]),
-    ("SELECT n FROM nums WHERE n > ANY (SELECT v FROM vals) ORDER BY n", [(2,), (3,), (4,), (5,)]),
-    ("SELECT n FROM nums WHERE n = ANY (SELECT v FROM vals) ORDER BY n", [(1,), (3,)]),
-    ("SELECT n FROM nums WHERE n <> ALL (SELECT v FROM vals) ORDER BY n", [(2,), (4,), (5,)]),
-    ("SELECT n > ALL (SELECT m FROM nums) AS x FROM nums WHERE n = 1", [(False,)]),
-    ("SELECT 50 > ALL (SELECT m FROM nums) AS x", [(None,)]),
-    ("SELECT 50 = ALL (SELECT v FROM vals WHERE v > 9) AS x, 5 < ANY (SELECT v FROM vals WHERE v > 9) AS y", [(True, False)]),
-    ("SELECT m FROM nums ORDER BY m", [(10,), (30,), (40,), (None,), (None,)]),
-    ("SELECT m FROM nums ORDER BY m DESC LIMIT 3", [(None,), (None,), (40,)]),
-    ("SELECT m FROM nums ORDER BY m NULLS FIRST LIMIT 1 OFFSET 1", [(None,)]),
-    ("SELECT s FROM strs WHERE s LIKE '100\\%%' OR s ILIKE 'b%'", [("Banana",), ("100% sure",)]),
-    ("SELECT TRUE AND NULL AS a, FALSE AND NULL AS b, TRUE OR NULL AS c, NOT NULL AS d", [(None, False, True, None)]),
-    ("SELECT dept, collect(salary ORDER BY salary DESC) AS s FROM emps WHERE dept IN ('eng', 'sales') GROUP BY dept ORDER BY dept", [("eng", [100, 80]), ("sales", [70, 70])]),
-    ("SELECT collect(m ORDER BY n) AS s FROM nums", [([10, None, 30, 40, None],)]),
-    ("SELECT collect(DISTINCT dept ORDER BY dept) AS s FROM emps", [(["eng", "hr", "sales", None],)]),
-    ("SELECT count(*) FILTER (WHERE salary > 70) AS a, count(mgr) AS b, count(DISTINCT dept) AS c FROM emps", [(2, 5, 3)]),
-    ("SELECT dept FROM emps INTERSECT ALL SELECT dept FROM emps ORDER BY dept", [("eng",), ("eng",), ("hr",), ("sales",), ("sales",), (None,)]),
-    ("SELECT n FROM nums EXCEPT SELECT v FROM vals ORDER BY n", [(2,), (4,), (5,)]),
-    ("WITH RECURSIVE up AS (SELECT id, name, mgr FROM emps WHERE name = 'Dave' UNION ALL SELECT e.id, e.name, e.mgr FROM emps e JOIN up u ON e.id = u.mgr) SELECT name FROM up", [("Dave",), ("Carol",), ("Alice",)]),
-    ("WITH t(a) AS (SELECT 1 UNION SELECT (a * 3) % 7 FROM t) SELECT a FROM t ORDER BY a", [(1,), (2,), (3,), (4,), (5,), (6,)]),
-    ("WITH t AS NOT MATERIALIZED (SELECT n FROM nums), u AS MATERIALIZED (SELECT n FROM t) SELECT max(n) AS m FROM u", [(5,)]),
-    ("SELECT e.name, s.mx FROM emps e JOIN LATERAL (SELECT max(n) AS mx FROM nums WHERE nums.n < e.id) s ON TRUE WHERE e.id < 3 ORDER BY e.id", [("Alice", None), ("Bob", 1)]),
-    ("SELECT d.dname, e.name FROM depts d LEFT JOIN emps e ON e.dept = d.dname AND e.salary > 75 ORDER BY d.dname, e.name", [("eng", "Alice"), ("eng", "Bob"), ("marketing", None), ("sales", None)]),
-    ("SELECT name FROM emps WHERE mgr NOT IN (SELECT id FROM emps WHERE id > 1) ORDER BY name", [("Bob",), ("Carol",), ("Eve",)]),
-    ("SELECT 7 / 2 AS a, 7 // 2 AS b, 7 % 2 AS c, 2 ^ 3 AS d, 1 / 0 AS e, 'a' + 'b' AS f, 0x1F AS g", [(3.5, 3, 1, 8.0, None, "ab", 31)]),
-    ("SELECT 'x'::number AS a, '12'::number AS b, NULL::text AS c, 'abc'::date AS d", [(None, 12.0, None, None)]),
-    ("SELECT ''::boolean AS a, 'no'::boolean AS b, 0::boolean AS c", [(False, True, False)]),
-    ("SELECT ARRAY[1, 2, 3][1] AS a, ARRAY[1, 2, 3][0:2] AS b, ARRAY[1][7] AS c, ROW(1 AS x, 'y' AS z).z AS d", [(2, [1, 2], None, "y")]),
-    ("SELECT u.value AS v FROM unwind(ARRAY[3, 4]) u", [(3,), (4,)]),
-    ("SELECT v.col0 AS a, v.col1 AS b FROM (VALUES (1, 'p'), (2, 'q')) AS v ORDER BY a", [(1, "p"), (2, "q")]),
-    ("SELECT $t$it's$t$ AS a, 'it''s' AS b, \"n\" AS c FROM nums WHERE n = 1 -- done", [("it's", "it's", 1)]),
-    ("SELECT ARRAY[1, 2] @> ARRAY[2] AS a, ARRAY[1] @> ARRAY[2] AS b", [(True, False)]),
-    ("SELECT dept FROM emps GROUP BY dept HAVING count(*) > 1 ORDER BY max(salary) DESC", [("eng",), ("sales",)]),
-    ("SELECT name FROM emps WHERE salary = (SELECT max(salary) FROM emps); SELECT 5 AS x", [(5,)]),
+    ("SELECT DISTINCT ON (grove) grove, kind FROM trees ORDER BY grove, height DESC, kind", [("north", "oak"), ("ridge", "fir"), ("south", "ash"), (None, "box")]),
+    ("SELECT a FROM pairs WHERE a > ALL (SELECT p FROM picks WHERE p > 90) ORDER BY a", [(2,), (4,), (6,), (8,), (10,)]),
+    ("SELECT a FROM pairs WHERE a > ALL (SELECT p FROM picks) ORDER BY a", [(8,), (10,)]),
+    ("SELECT a FROM pairs WHERE a > ANY (SELECT p FROM picks) ORDER BY a", [(4,), (6,), (8,), (10,)]),
+    ("SELECT a FROM pairs WHERE a = ANY (SELECT p FROM picks) ORDER BY a", [(2,), (6,)]),
+    ("SELECT a FROM pairs WHERE a <> ALL (SELECT p FROM picks) ORDER BY a", [(4,), (8,), (10,)]),
+    ("SELECT a > ALL (SELECT b FROM pairs) AS x FROM pairs WHERE a = 2", [(False,)]),
+    ("SELECT 60 > ALL (SELECT b FROM pairs) AS x", [(None,)]),
+    ("SELECT 60 = ALL (SELECT p FROM picks WHERE p > 7) AS x, 6 < ANY (SELECT p FROM picks WHERE p > 7) AS y", [(True, False)]),
+    ("SELECT b FROM pairs ORDER BY b", [(12,), (36,), (48,), (None,), (None,)]),
+    ("SELECT b FROM pairs ORDER BY b DESC LIMIT 3", [(None,), (None,), (48,)]),
+    ("SELECT b FROM pairs ORDER BY b NULLS FIRST LIMIT 1 OFFSET 1", [(None,)]),
+    ("SELECT w FROM words WHERE w LIKE '50\\%%' OR w ILIKE 'f%'", [("Fern",), ("50% shade",)]),
+    ("SELECT NULL AND TRUE AS a, NULL AND FALSE AS b, NULL OR TRUE AS c, NOT NULL AS d", [(None, False, True, None)]),
+    ("SELECT grove, collect(height ORDER BY height DESC) AS s FROM trees WHERE grove IN ('north', 'south') GROUP BY grove ORDER BY grove", [("north", [31, 22]), ("south", [17, 17])]),
+    ("SELECT collect(b ORDER BY a) AS s FROM pairs", [([12, None, 36, 48, None],)]),
+    ("SELECT collect(DISTINCT grove ORDER BY grove) AS s FROM trees", [(["north", "ridge", "south", None],)]),
+    ("SELECT count(*) FILTER (WHERE height > 17) AS a, count(parent) AS b, count(DISTINCT grove) AS c FROM trees", [(2, 5, 3)]),
+    ("SELECT grove FROM trees INTERSECT ALL SELECT grove FROM trees ORDER BY grove", [("north",), ("north",), ("ridge",), ("south",), ("south",), (None,)]),
+    ("SELECT a FROM pairs EXCEPT SELECT p FROM picks ORDER BY a", [(4,), (8,), (10,)]),
+    ("WITH RECURSIVE up AS (SELECT tid, kind, parent FROM trees WHERE kind = 'yew' UNION ALL SELECT t.tid, t.kind, t.parent FROM trees t JOIN up u ON t.tid = u.parent) SELECT kind FROM up", [("yew",), ("ash",), ("oak",)]),
+    ("WITH t(n) AS (SELECT 2 UNION SELECT (n * 2) % 11 FROM t) SELECT count(*) AS c, max(n) AS m FROM t", [(10, 10)]),
+    ("WITH t AS NOT MATERIALIZED (SELECT a FROM pairs), u AS MATERIALIZED (SELECT a FROM t) SELECT max(x.a) + min(y.a) AS m FROM u x, u y", [(12,)]),
+    ("SELECT t.kind, s.mx FROM trees t JOIN LATERAL (SELECT max(a) AS mx FROM pairs WHERE pairs.a < t.tid - 8) s ON TRUE WHERE t.tid < 12 ORDER BY t.tid", [("oak", None), ("elm", 2)]),
+    ("SELECT g.gname, t.kind FROM groves g LEFT JOIN trees t ON t.grove = g.gname AND t.height > 20 ORDER BY g.gname, t.kind", [("north", "elm"), ("north", "oak"), ("south", None), ("valley", None)]),
+    ("SELECT kind FROM trees WHERE parent NOT IN (SELECT tid FROM trees WHERE tid > 10) ORDER BY kind", [("ash",), ("elm",), ("fir",)]),
+    ("SELECT kind FROM trees WHERE tid NOT IN (SELECT parent FROM trees)", []),
+    ("SELECT kind FROM trees WHERE (height < 10 OR tid NOT IN (SELECT parent FROM trees WHERE parent IS NOT NULL)) AND grove IS NOT NULL ORDER BY kind", [("fir",), ("yew",)]),
+    ("SELECT kind FROM trees WHERE NOT (tid NOT IN (SELECT parent FROM trees)) ORDER BY kind", [("ash",), ("elm",), ("oak",)]),
+    ("SELECT kind FROM trees WHERE (tid NOT IN (SELECT parent FROM trees)) IS NULL ORDER BY kind", [("box",), ("fir",), ("yew",)]),
+    ("SELECT kind FROM trees WHERE parent NOT IN (SELECT tid FROM trees WHERE tid > 90) ORDER BY kind LIMIT 2", [("ash",), ("box",)]),
+    ("SELECT 9 / 2 AS a, 9 // 2 AS b, 9 % 2 AS c, 3 ^ 2 AS d, 4 / 0 AS e, 'x' + 'y' AS f, 0x2A AS g", [(4.5, 4, 1, 9.0, None, "xy", 42)]),
+    ("SELECT 'q'::number AS a, '34'::number AS b, NULL::text AS c, 'soon'::date AS d", [(None, 34.0, None, None)]),
+    ("SELECT ''::boolean AS a, 'maybe'::boolean AS b, 0::boolean AS c", [(False, True, False)]),
+    ("SELECT ARRAY[7, 8, 9][1] AS a, ARRAY[7, 8, 9][0:2] AS b, ARRAY[7][5] AS c, ROW(1 AS x, 'y' AS z).z AS d", [(8, [7, 8], None, "y")]),
+    ("SELECT u.value AS v FROM unwind(ARRAY[5, 6]) u", [(5,), (6,)]),
+    ("SELECT v.col0 AS a, v.col1 AS b FROM (VALUES (3, 'r'), (4, 's')) AS v ORDER BY a", [(3, "r"), (4, "s")]),
+    ("SELECT $q$don't$q$ AS x, 'don''t' AS y, \"a\" AS c FROM pairs WHERE a = 2 -- the end", [("don't", "don't", 2)]),
+    ("SELECT ARRAY[5, 6] @> ARRAY[6] AS x, ARRAY[5] @> ARRAY[6] AS y", [(True, False)]),
+    ("SELECT grove FROM trees GROUP BY grove HAVING count(*) > 1 ORDER BY max(height) DESC", [("north",), ("south",)]),
+    ("SELECT kind FROM trees WHERE height = (SELECT max(height) FROM trees); SELECT 8 AS x", [(8,)]),
+    ("SELECT a FROM pairs EXCEPT SELECT p FROM picks EXCEPT SELECT 8 ORDER BY a", [(4,), (10,)]),
 ]
 
 
@@ -69,25 +75,39 @@ def test_query(db, text, want):
 
 
 def test_names_parameters_and_errors(db):
-    assert db.query("SELECT e.name, count(*) FROM emps e GROUP BY e.name").columns == ["e.name", "count(*)"]
-    assert rows(db, "SELECT name FROM emps WHERE dept = :d AND salary > ?low", d="eng", low=90) == [("Alice",)]
-    for bad in ("SELECT FROM", "SELECT 1 +", "SELECT a FROM t NATURAL JOIN u", "SELECT ~", "SELECT :nothing"):
+    assert db.query("SELECT t.kind, count(*) FROM trees t GROUP BY t.kind").columns == ["t.kind", "count(*)"]
+    assert rows(db, "SELECT kind FROM trees WHERE grove = :g AND height > ?low", g="north", low=25) == [("oak",)]
+    for bad in ("SELECT FROM", "SELECT 1 +", "SELECT a FROM t NATURAL JOIN u", "SELECT ~", "SELECT :nothing", "SELECT 1 FROM trees JOIN groves", "SELECT 1 FROM trees, trees", "SELECT 1 FROM trees x JOIN groves X ON TRUE", "WITH RECURSIVE t AS (SELECT 1 FROM t) SELECT 1"):
         with pytest.raises(QueryError):
             db.query(bad)
-    assert list(db.rows("SELECT 1 AS a")) == [{"a": 1}]
+    assert list(db.rows("SELECT 1 AS a")) == [{"a": 1}] and list(db.rows("SELECT 1 AS a", serialise=tuple)) == [(1,)]
+    assert rows(db, "SELECT x.a AS a FROM pairs x WHERE EXISTS (SELECT 1 FROM pairs x WHERE x.a = 2) AND x.a > 8") == [(10,)]
 
 
-def test_recursion_and_sets_associate_from_the_left(db):
-    assert rows(db, "SELECT n FROM nums EXCEPT SELECT v FROM vals EXCEPT SELECT 2 ORDER BY n") == [(4,), (5,)]
+def test_recursion_leaves_tables_alone_and_goes_deep(db):
+    got = rows(db, "WITH RECURSIVE trees(n) AS (SELECT 1 UNION SELECT n + 1 FROM trees WHERE n < 12) SELECT count(*) AS c, max(t.n) AS m FROM trees t")
+    assert got == [(12, 12)] and rows(db, "SELECT count(*) AS c FROM trees") == [(6,)]
+    assert rows(db, "WITH RECURSIVE t(n) AS (SELECT tid FROM trees WHERE tid = 10 UNION ALL SELECT n + 1 FROM t WHERE n < 160) SELECT max(n) AS m, count(*) AS c FROM t") == [(160, 151)]
+    assert rows(db, "WITH RECURSIVE s AS (SELECT 4 AS x), t(n) AS (SELECT x FROM s UNION SELECT n - 1 FROM t WHERE n > (SELECT min(p) FROM picks)) SELECT n FROM t ORDER BY n") == [(2,), (3,), (4,)]
+
+
+def test_a_materialized_part_is_read_once(db):
+    plan = db.query("WITH u AS MATERIALIZED (SELECT grove, count(*) AS n FROM trees GROUP BY grove) SELECT x.grove FROM u x, u y WHERE x.n = y.n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_not_in_is_an_anti_join(db):
+    plan = db.query("SELECT kind FROM trees WHERE tid NOT IN (SELECT parent FROM trees WHERE height > 1)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull" not in plan.split("LeftAnti")[1].split("\n")[0]
 
 
 def test_user_functions(db):
     from pyspark.sql import functions as F
 
-    db.registry.builder("twice", lambda x: f"({x} * 2)")
-    db.registry.function("shout", F.udf(lambda s: s and s.upper() + "!"))
-    db.registry.operator("||", lambda a, b: f"concat({a}, '-', {b})")
-    assert rows(db, "SELECT twice(n) AS a, shout('x') AS b, 'p' || 'q' AS c FROM nums WHERE n = 2") == [(4, "X!", "p-q")]
+    db.registry.builder("thrice", lambda x: f"({x} * 3)")
+    db.registry.function("loud", F.udf(lambda s: s and s.upper() + "?"))
+    db.registry.operator("||", lambda a, b: f"concat({a}, '~', {b})")
+    assert rows(db, "SELECT thrice(a) AS a, loud('x') AS b, 'p' || 'q' AS c FROM pairs WHERE a = 4") == [(12, "X?", "p~q")]
 
 
 def test_intervals():

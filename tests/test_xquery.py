@@ -1,4 +1,4 @@
-"""XQuery over a catalog of three books."""
+"""XQuery over a garden of three beds."""
 
 import pytest
 
@@ -6,62 +6,71 @@ from trilith.engine import Engine
 from trilith.plans.lexer import QueryError
 from trilith.sources.xml import nodes_of
 
-CATALOG = (
-    '<catalog><book id="b1" price="10"><title>SQL Basics</title><author>Ann</author><author>Ben</author><year>2001</year></book>\n'
-    '<book id="b2" price="25"><title>XML Advanced</title><author>Cid</author><year>2005</year></book>\n'
-    '<book id="b3" price="15"><title>Graphs</title><author>Ann</author><year>2003</year></book></catalog>'
+GARDEN = (
+    '<garden><bed no="n1" area="8"><soil>loam</soil><herb>sage</herb><herb>dill</herb><dug>1988</dug></bed>\n'
+    '<bed no="n2" area="21"><soil>sandy clay</soil><herb>mint</herb><dug>1994</dug></bed>\n'
+    '<bed no="n3" area="13"><soil>peat</soil><herb>sage</herb><dug>1991</dug></bed></garden>'
 )
 
 
 @pytest.fixture(scope="module")
 def db(spark):
     e = Engine(spark)
-    e.register_xml("doc", spark.createDataFrame([("c", CATALOG)], "doc string, xml string"))
-    e.register_table("limits", spark.createDataFrame([(12,), (20,)], "low int"))
+    e.register_xml("plot", spark.createDataFrame([("g", GARDEN)], "doc string, xml string"))
+    e.register_table("limits", spark.createDataFrame([(9,), (18,)], "low int"))
     return e
 
 
 CASES = [
-    ("(1, 2, 3)[last()]", [3]),
-    ("(1 to 4)[. > 2]", [3, 4]),
+    ("(5, 6, 7)[last()]", [7]),
+    ("(3 to 6)[. > 4]", [5, 6]),
     ("()", []),
-    ("1 + 2 * 3 - 10 div 4", [4.5]),
-    ("7 idiv 2, 7 mod 2", [3, 1]),
-    ("(1, 2, 3) = 3", [True]),
-    ("(1, 2) = (3, 4)", [False]),
-    ("if (1 < 2) then 'a' else 'b'", ["a"]),
-    ("'a' || 'b'", ["ab"]),
-    ("not(1 = 1) or true()", [True]),
-    ("(1, 2, 3) ! (. * 2)", [2, 4, 6]),
-    ("<greeting>{ 1 + 1 }</greeting>", ["<greeting>2</greeting>"]),
-    ("<a b='{1 + 1}'><c/>x{ (1, 2) }</a>", ['<a b="2"><c/>x1 2</a>']),
-    ("<wrap>{ $doc/catalog/book[1]/title }</wrap>", ["<wrap><title>SQL Basics</title></wrap>"]),
-    ("element x { 'a < b' }", ["<x>a &lt; b</x>"]),
-    ("$doc/catalog/book/title", ["<title>SQL Basics</title>", "<title>XML Advanced</title>", "<title>Graphs</title>"]),
-    ("$doc//author", ["<author>Ann</author>", "<author>Ben</author>", "<author>Cid</author>", "<author>Ann</author>"]),
-    ("$doc/catalog/book[@price > 12]/@id", ["b2", "b3"]),
-    ("$doc/catalog/book[author = 'Ann' and @price < 12]/@id", ["b1"]),
-    ("$doc/catalog/book[2]/preceding-sibling::book/@id", ["b1"]),
-    ("$doc/catalog/book[last()]/@id", ["b3"]),
-    ("$doc/catalog/book[position() < 3]/@id", ["b1", "b2"]),
-    ("$doc//year/text()", ["2001", "2005", "2003"]),
-    ("count($doc//book)", [3]),
-    ("sum($doc//book/@price), avg($doc//book/@price), min($doc//book/@price)", [50.0, 50 / 3, 10.0]),
-    ("for $b in $doc/catalog/book where $b/@price > 12 order by $b/year descending return $b/@id", ["b2", "b3"]),
-    ("for $b in $doc/catalog/book let $a := $b/author return count($a)", [2, 1, 1]),
-    ("for $x at $i in (10, 20, 30) return $i * $x", [10, 40, 90]),
-    ("for $x in (1, 2) for $y in (10, 20) order by $y, $x return $x + $y", [11, 12, 21, 22]),
-    ("for $b in $doc//book group by $big := $b/@price > 12 return count($b)", [1, 2]),
-    ("for $a in $doc//author return $a/../@id", ["b1", "b1", "b2", "b3"]),
-    ("for $b in $doc//book return for $a in $b/author return $a", ["<author>Ann</author>", "<author>Ben</author>", "<author>Cid</author>", "<author>Ann</author>"]),
-    ("switch ('b') case 'a' return 1 case 'b' case 'c' return 2 default return 3", [2]),
-    ("'12' cast as xs:integer + 1", [13.0]),
-    ("declare namespace x = 'http://x'; <!-- c -->", ["<!-- c -->"]),
-    ("<a><!--n--><?p q?>{ comment { 'k' } }</a>", ["<a><!--n--><?p q?><!--k--></a>"]),
-    ("some $x in (1, 2, 3) satisfies $x > 2", [True]),
-    ("every $x in (1, 2, 3) satisfies $x > 2", [False]),
-    ("for $b in $doc//book where exists($b/author[2]) return string($b/title)", ["SQL Basics"]),
-    ("for $b in $doc//book where $b/@price > (LANG SQL SELECT max(low) AS m FROM limits) return $b/@id", ["b2"]),
+    ("3 + 4 * 5 - 9 div 2", [18.5]),
+    ("11 idiv 4, 11 mod 4", [2, 3]),
+    ("(4, 5, 6) = 6", [True]),
+    ("(4, 5) = (6, 7)", [False]),
+    ("if (3 < 4) then 'p' else 'q'", ["p"]),
+    ("'x' || 'y'", ["xy"]),
+    ("not(2 = 2) or true()", [True]),
+    ("(2, 3, 4) ! (. * 3)", [6, 9, 12]),
+    ("(1 to 3) union (2 to 4)", [1, 2, 3, 4]),
+    ("(1 to 4) intersect (3 to 6), (1 to 4) except 2", [3, 4, 1, 3, 4]),
+    ("<sum>{ 4 + 5 }</sum>", ["<sum>9</sum>"]),
+    ("<p q='{2 + 2}'><r/>s{ (3, 4) }</p>", ['<p q="4"><r/>s3 4</p>']),
+    ("<wrap>{ $plot/garden/bed[1]/soil }</wrap>", ["<wrap><soil>loam</soil></wrap>"]),
+    ("element y { 'p < q' }", ["<y>p &lt; q</y>"]),
+    ("element y { attribute k { 1 + 1 }, attribute m { 'a\"b' }, 'z' }", ['<y k="2" m="a&quot;b">z</y>']),
+    ("<p>{ attribute q { 'r' } }</p>", ['<p q="r"/>']),
+    ("for $b in $plot//bed let $h := $b/herb return ($h/../soil, count($h/text()))", ["<soil>loam</soil>", "2", "<soil>sandy clay</soil>", "1", "<soil>peat</soil>", "1"]),
+    ("for $b in $plot//bed group by $large := $b/@area > 10 return string(count($b/herb)) || ':' || $b/soil", ["2:loam", "2:sandy clay"]),
+    ("$plot/garden/bed/soil", ["<soil>loam</soil>", "<soil>sandy clay</soil>", "<soil>peat</soil>"]),
+    ("$plot//herb", ["<herb>sage</herb>", "<herb>dill</herb>", "<herb>mint</herb>", "<herb>sage</herb>"]),
+    ("$plot/garden/bed[@area > 10]/@no", ["n2", "n3"]),
+    ("$plot/garden/bed[@area != @no]/@no", ["n1", "n2", "n3"]),
+    ("$plot/garden/bed[herb = 'sage' and @area < 10]/@no", ["n1"]),
+    ("$plot/garden/bed[2]/preceding-sibling::bed/@no", ["n1"]),
+    ("$plot/garden/bed[last()]/@no", ["n3"]),
+    ("$plot/garden/bed[position() < 3]/@no", ["n1", "n2"]),
+    ("$plot//dug/text()", ["1988", "1994", "1991"]),
+    ("count($plot//bed)", [3]),
+    ("sum($plot//bed/@area), avg($plot//bed/@area)", [42.0, 14.0]),
+    ("min($plot//bed/@area), max($plot//soil)", ["8", "sandy clay"]),
+    ("for $b in $plot/garden/bed where $b/@area > 10 order by $b/dug descending return $b/@no", ["n2", "n3"]),
+    ("for $b in $plot/garden/bed let $h := $b/herb return count($h)", [2, 1, 1]),
+    ("for $b in $plot/garden/bed let $h := $b/herb | $b/soil return count($h except $b/soil)", [2, 1, 1]),
+    ("for $x at $i in (7, 8, 9) return $i * $x", [7, 16, 27]),
+    ("for $x in (1, 2) for $y in (30, 40) order by $y, $x return $x + $y", [31, 32, 41, 42]),
+    ("for $b in $plot//bed group by $large := $b/@area > 10 return count($b)", [1, 2]),
+    ("for $h in $plot//herb return $h/../@no", ["n1", "n1", "n2", "n3"]),
+    ("for $b in $plot//bed return for $h in $b/herb return $h", ["<herb>sage</herb>", "<herb>dill</herb>", "<herb>mint</herb>", "<herb>sage</herb>"]),
+    ("switch ('m') case 'k' return 5 case 'm' case 'n' return 6 default return 7", [6]),
+    ("'31' cast as xs:integer + 1", [32.0]),
+    ("declare namespace g = 'http://g'; <!-- weed -->", ["<!-- weed -->"]),
+    ("<p><!--m--><?v w?>{ comment { 'z' } }</p>", ["<p><!--m--><?v w?><!--z--></p>"]),
+    ("some $x in (4, 5, 6) satisfies $x > 5", [True]),
+    ("every $x in (4, 5, 6) satisfies $x > 5", [False]),
+    ("for $b in $plot//bed where exists($b/herb[2]) return string($b/soil)", ["loam"]),
+    ("for $b in $plot//bed where $b/@area > (LANG SQL SELECT max(low) AS m FROM limits) return $b/@no", ["n2"]),
 ]
 
 
@@ -82,5 +91,10 @@ def test_errors_and_parameters(db):
         with pytest.raises(QueryError):
             db.query(bad, "xquery")
     assert [r.value for r in db.query("$low + 1", "xquery", {"low": 4}).collect()] == [5]
-    got = db.query("SELECT count(*) AS k FROM (LANG xquery $doc//book[@price > 12]/@id) AS t WHERE t.value <> 'b2'").collect()
+    got = db.query("SELECT count(*) AS k FROM (LANG xquery $plot//bed[@area > 10]/@no) AS t WHERE t.value <> 'n2'").collect()
     assert got[0].k == 1
+
+
+def test_documents_are_parsed_once(db):
+    plan = db.query("for $b in $plot//bed return ($b/../@x, $b/ancestor::garden/@no, count($b/following-sibling::bed))", "xquery")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan

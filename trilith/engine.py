@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from .functions.registry import Registry
-from .operators.recursion import fixpoint
+from .operators.recursion import checkpointed, fixpoint, shared_folder
 from .plans.cypher import Cypher
 from .plans.lexer import QueryError, tokens
 from .plans.sql import Sql
@@ -18,8 +19,6 @@ from .plans.xquery import XQuery
 from .sources.graph import Graph
 from .sources.xml import node_table
 
-LANGUAGES = ("sql", "cypher", "xquery")
-
 
 class Engine:
     """Tables, graphs and XML documents under names, and queries over them."""
@@ -29,6 +28,10 @@ class Engine:
         self.graphs: dict[str, Graph] = {}
         self.documents: dict[str, DataFrame] = {}
         self.default_graph: str | None = None
+        self.languages: dict[str, Callable[[Engine, str, dict[str, Any]], DataFrame]] = {}
+        # recursion goes as deep as the data, not as Spark's defaults
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
 
     def register_table(self, name: str | tuple[str, ...], df: DataFrame) -> None:
         df.createOrReplaceTempView(name if isinstance(name, str) else "__".join(name))
@@ -45,9 +48,23 @@ class Engine:
         self.register_table((name, "edges"), edges)
         self.default_graph = self.default_graph or name
 
+    def register_objects(self, name: str, objects: list[Any], schema: str, row: Callable[[Any], tuple] | None = None) -> None:
+        """Python objects as a table: row tells an object's columns, where it isn't a dictionary or a tuple itself."""
+        self.register_table(name, self.spark.createDataFrame([row(x) for x in objects] if row else objects, schema))
+
+    def create_index(self, table: str, *keys: str) -> None:
+        """A copy of a table in the order of its keys takes its place: a condition on them reads only the files and row groups that hold such keys."""
+        path = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
+        self.spark.table(f"`{table}`").repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+        self.register_table(table, self.spark.read.parquet(path))
+
+    def register_language(self, name: str, compile: Callable[[Engine, str, dict[str, Any]], DataFrame]) -> None:
+        """A further language for query() and LANG blocks."""
+        self.languages[name.lower()] = compile
+
     def register_xml(self, name: str, documents: DataFrame) -> None:
-        """documents(doc, xml); $name stands for all of them in XQuery."""
-        nodes = node_table(documents)
+        """documents(doc, xml); $name stands for all of them in XQuery. They are parsed once, into a table in the shared folder."""
+        nodes = checkpointed(node_table(documents))
         self.documents[name] = nodes
         self.register_table((name, "xml"), nodes)
 
@@ -65,14 +82,16 @@ class Engine:
             return self.spark.sql(Cypher(self, text, params or {}).text())
         if lang == "xquery":
             return XQuery(self, text, params or {}).run()
+        if lang in self.languages:
+            return self.languages[lang](self, text, params or {})
         raise QueryError(f"unknown language {lang}")
 
     def explain(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None, mode: str = "formatted") -> None:
         self.query(text, lang, params).explain(mode)
 
-    def rows(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None) -> Iterator[dict[str, Any]]:
-        """Rows as they come, as dictionaries; the driver holds one partition at a time."""
-        return (r.asDict(recursive=True) for r in self.query(text, lang, params).toLocalIterator())
+    def rows(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None, serialise: Callable[[Row], Any] = lambda r: r.asDict(recursive=True)) -> Iterator[Any]:
+        """Rows as they come, as dictionaries or what serialise makes of them; the driver holds one partition at a time."""
+        return map(serialise, self.query(text, lang, params).toLocalIterator())
 
     @staticmethod
     def statements(text: str) -> list[str]:
@@ -101,20 +120,27 @@ class Engine:
 
         return resolve
 
-    def sql_text(self, text: str, params: dict[str, Any] | None = None) -> tuple[str, Sql]:
+    def sql_text(self, text: str, params: dict[str, Any] | None = None, rewrite: bool = True) -> tuple[str, Sql]:
         """A statement as Spark SQL."""
         parser = Sql(text, params, self.block(params or {}), self.registry.builders("sql"), self.registry.operators("sql"), self.registry.aggregates("sql"))
+        parser.rewrite, parser.casts = rewrite, self.registry.casts("sql")
         return parser.statement(), parser
 
-    def sql(self, text: str, params: dict[str, Any]) -> DataFrame:
-        out, parser = self.sql_text(text, params)
-        for name, cols, first, step in parser.loops:
+    def sql(self, text: str, params: dict[str, Any], rewrite: bool = True) -> DataFrame:
+        out, parser = self.sql_text(text, params, rewrite)
+        for view, cols, first, step in parser.loops:
             start = self.spark.sql(first)
             start = start.toDF(*cols) if cols else start
 
-            def again(new: DataFrame, name: str = name, step: str = step) -> DataFrame:
-                new.createOrReplaceTempView(name)
+            def again(new: DataFrame, view: str = view, step: str | None = step) -> DataFrame:
+                new.createOrReplaceTempView(view)
                 return self.spark.sql(step)
 
-            fixpoint(start, again).createOrReplaceTempView(name)
-        return self.spark.sql(out)
+            (fixpoint(start, again) if step else checkpointed(start)).createOrReplaceTempView(view)
+        try:
+            return self.spark.sql(out)
+        except AnalysisException:
+            if not rewrite:
+                raise
+        # what NOT IN became can't be planned everywhere
+        return self.sql(text, params, False)

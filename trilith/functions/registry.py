@@ -37,6 +37,27 @@ class Registry:
         self.spark.udf.register(f"trilith_{name}", udaf)
         self._put("aggregate", lang, name.lower(), f"trilith_{name}")
 
+    def fold(self, name: str, init: str, step: Callable[..., str], result: Callable[[str], str] = lambda acc: acc, lang: str = GLOBAL) -> None:
+        """An aggregate of any number of arguments by a first state, a step and a result, as Spark SQL text: no Python runs on rows."""
+
+        def build(*args: str) -> str:
+            rows = f"collect_list(struct({', '.join(f'{a} AS a{i}' for i, a in enumerate(args))}))"
+            return f"aggregate({rows}, {init}, (_s, _r) -> {step('_s', *(f'_r.a{i}' for i in range(len(args))))}, _s -> {result('_s')})"
+
+        self._put("builder", lang, name.lower(), build)
+        self._put("fold", lang, name.lower(), build)
+
+    def cast(self, name: str, build: Callable[[str], str], lang: str = GLOBAL) -> None:
+        """A type for CAST and :: as Spark SQL text."""
+        self._put("cast", lang, name.lower(), build)
+
+    def bundle(self, parts: dict[str, dict[str, Any]], lang: str = GLOBAL) -> None:
+        """Several registrations at once: the method's name, then names and what they stand for."""
+        for kind, named in parts.items():
+            for name, value in named.items():
+                args = value if isinstance(value, tuple) else (value,)
+                getattr(self, kind)(name, *args, **({} if kind == "table_function" else {"lang": lang}))
+
     def table_function(self, name: str, udtf: Any) -> None:
         self.spark.udtf.register(name, udtf)
 
@@ -49,5 +70,11 @@ class Registry:
     def aggregates(self, lang: str) -> dict[str, str]:
         return self._of("aggregate", lang)
 
+    def casts(self, lang: str) -> dict[str, Callable[[str], str]]:
+        return self._of("cast", lang)
+
+    def folds(self, lang: str) -> dict[str, Callable[..., str]]:
+        return self._of("fold", lang)
+
     def operators(self, lang: str) -> dict[str, Callable[[str, str], str]]:
         return self._of("operator", lang)

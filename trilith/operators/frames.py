@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .recursion import checkpointed
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
@@ -24,7 +26,8 @@ def with_index(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Numbers rows from 1 in an order, without gathering them: counts of range partitions, then numbers within each."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     w = Window.partitionBy("__p").orderBy(*order)
-    numbered = parts.withColumn("__i", F.row_number().over(w))
+    # read twice: bounds of ranges are sampled anew each time they are worked out
+    numbered = checkpointed(parts.withColumn("__i", F.row_number().over(w)))
     counts = numbered.groupBy("__p").agg(F.max("__i").alias("__c"))
     before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(F.broadcast(before.select("__p", "__b")), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")

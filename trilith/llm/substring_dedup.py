@@ -224,6 +224,44 @@ def _paths(length: int):
 PATHS_DDL = "key_id long, key_hash long, paths binary, digests binary"
 
 
+def _deal_digests(ranges: int):
+    """Rows of _paths -> blocks of digests by range, each digest of a batch once, and whether it stands there more than once."""
+    bounds = bucket_bounds(ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                digest, count = _distinct(np.frombuffer(b"".join(batch.column("digests").slice(at, 4096).to_pylist()), ">u8").reshape(-1, 2).astype(U64))
+                cut = np.concatenate([[0], np.searchsorted(digest[:, 0], bounds), [len(digest)]])
+                yield blocks([(int(i), 0, 0, digest[cut[i] : cut[i + 1]].tobytes(), (count[cut[i] : cut[i + 1]] > 1).tobytes()) for i in np.flatnonzero(cut[1:] > cut[:-1])])
+
+    return run
+
+
+def _distinct(digest: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests in order, and how often each stands; those that stood more than once before count twice."""
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    digest, n = digest[order], np.ones(len(digest), np.int64) if many is None else 1 + many[order].astype(np.int64)
+    new = np.ones(len(digest), bool)
+    new[1:] = (digest[1:] != digest[:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    return digest[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _single(group: pa.Table) -> pa.Table:
+    """One range: the digests that stand once."""
+    rows = group.to_pylist()
+    digest, count = _distinct(np.concatenate([np.frombuffer(r["a"], U64) for r in rows]).reshape(-1, 2), np.concatenate([np.frombuffer(r["b"], bool) for r in rows]))
+    once = digest[count == 1]
+    return pa.Table.from_batches([blocks([(0, 0, 0, once.astype(">u8").tobytes())] if len(once) else [])])
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = b"".join(batch.column("a").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["digest"])
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _paths -> a row for each path."""
     for batch in batches:
@@ -285,11 +323,11 @@ class Repeats:
         self.paths = checkpointed(found.mapInArrow(_paths(length), PATHS_DDL))
         release(docs.sparkSession)
         self.digests = self.paths.mapInArrow(_digests, DIGESTS_DDL)
-        once = checkpointed(self.digests.groupBy("digest").agg(F.count("*").alias("n")).where("n = 1").select("digest"))
+        once = checkpointed(self.paths.mapInArrow(_deal_digests(self.ranges), BLOCK_DDL).groupBy("bucket").applyInArrow(_single, BLOCK_DDL))
         #: key_id, key_hash, windows: those that stand once after all; None if hashes told no lie
         self.single: DataFrame | None = None
         if not once.isEmpty():
-            suspect = self.digests.join(once, "digest").select("key_id", "key_hash")
+            suspect = self.digests.join(once.mapInArrow(_one_by_one, "digest binary"), "digest").select("key_id", "key_hash")
             each = lambda rows, seen: dealt.join(rows, ["key_id", "key_hash"]).select("key_id", "key_hash", "paths", "text").mapInArrow(_each_window(length, bits, seen), WINDOWS_DDL)
             whole = self.paths.dropDuplicates(["key_id", "key_hash"])
             suspects = checkpointed(each(whole.join(suspect.distinct(), ["key_id", "key_hash"], "left_semi"), None))

@@ -79,10 +79,25 @@ def test_estimates_are_unbiased_and_bounded():
     g = np.random.default_rng(4)
     v, q = g.standard_normal((3000, 64)), g.standard_normal((20, 64))
     about, bound = ann.estimates(q, *ann.encode(v))
-    off = about - q @ v.T
+    off = about - ann.directions(q)[0] @ v.T
     assert (np.abs(off) <= bound).mean() > 0.97 and abs(off.mean()) < 0.05 * np.abs(off).mean() + 0.05
 
 
+def test_large_and_small_components(spark):
+    g = np.random.default_rng(6)
+    v = g.standard_normal((300, 16)) * 10.0 ** g.integers(-140, 140, (300, 1))
+    v[:40] = g.standard_normal((40, 16)) * 1e150
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    indexed = ann.index(frame)
+    got = {}
+    for r in ann.nearest(indexed, indexed.where("vec_id % 20 = 0"), shard=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 300, 20):
+        score = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(300), -score)) if i != q][:20]
+        assert len({i for _, i in got[q]} & set(best)) >= 18, q
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + j) for j in range(1, 80)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(150)] + [(7, 7)]

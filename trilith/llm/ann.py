@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import checkpointed, read
 from .topk import best, finite, grid, merged, stacked
 
 #: Bits a component: the vector is padded to this many times its length before it is rotated.
@@ -37,24 +37,33 @@ def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
     return _rotations[dim, bits, seed]
 
 
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1, their lengths), whatever the size of finite components."""
+    top = np.abs(vectors).max(axis=1, initial=0)
+    top[top == 0] = 1
+    small = vectors / top[:, None]
+    size = np.sqrt((small * small).sum(axis=1))
+    return small / np.maximum(size, 1e-300)[:, None], size * top
+
+
 def encode(vectors: np.ndarray, bits: int = BITS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, norms, inner product of each code with its direction)."""
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = (vectors / norms[:, None]).astype(np.float32) @ rotation(vectors.shape[1], bits, seed)
+    unit, norms = directions(vectors)
+    turned = unit.astype(np.float32) @ rotation(vectors.shape[1], bits, seed)
     align = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
     return np.packbits(turned > 0, axis=1), norms, align
 
 
 def estimates(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray, bits: int = BITS, seed: int = SEED, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated inner products of queries with coded vectors, bounds of their errors)."""
+    """(estimated inner products of the directions of queries with coded vectors, bounds of their errors by vector).
+
+    Only directions are multiplied in single precision; norms come in afterwards, in double.
+    """
     width = queries.shape[1] * bits
     signs = np.unpackbits(codes, axis=1, count=width).astype(np.float32) * 2 - 1
-    turned = queries.astype(np.float32) @ rotation(queries.shape[1], bits, seed)
-    factor = (norms / (align * np.sqrt(width))).astype(np.float32)
-    about = (turned @ signs.T) * factor
-    spread = (norms * np.sqrt(np.maximum(0, 1 - align**2)) / align / np.sqrt(max(1, width - 1))).astype(np.float32)
-    reach = epsilon * np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
-    return about, reach[:, None] * spread[None, :]
+    turned = directions(queries)[0].astype(np.float32) @ rotation(queries.shape[1], bits, seed)
+    about = (turned @ (signs * (1 / (align * np.sqrt(width))).astype(np.float32)[:, None]).T) * norms
+    return about, epsilon * norms * np.sqrt(np.maximum(0, 1 - align**2)) / align / np.sqrt(max(1, width - 1))
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -70,23 +79,26 @@ def _coded(bits: int, seed: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                rows = [np.asarray(x, np.float64) for x in part.column("embedding").to_pylist()]
-                code, norm, align = [b""] * len(rows), np.ones(len(rows)), np.ones(len(rows))
-                for dim in {len(x) for x in rows}:
-                    some = [i for i, x in enumerate(rows) if len(x) == dim]
-                    c, norm[some], align[some] = encode(np.stack([rows[i] for i in some]), bits, seed)
-                    for i, x in zip(some, c):
-                        code[i] = x.tobytes()
+                lists = part.column("embedding")
+                values, dims = np.asarray(lists.flatten(), np.float64), np.asarray(lists.value_lengths())
+                first = np.cumsum(dims) - dims
+                code, norm, align = np.empty(len(dims), object), np.ones(len(dims)), np.ones(len(dims))
+                for dim in np.unique(dims):
+                    some = np.flatnonzero(dims == dim)
+                    c, norm[some], align[some] = encode(values[first[some][:, None] + np.arange(dim)], bits, seed)
+                    code[some] = [x.tobytes() for x in c]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(code, pa.binary()), pa.array(norm), pa.array(align)], names=[*part.schema.names, "code", "norm", "align"])
 
     return run
 
 
 def index(vectors: DataFrame, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, embedding, dim, code, norm, align: one row for each vector that takes part."""
+    """vectors(vec_id, embedding) -> vec_id, embedding, dim, code, norm, align: one row for each vector that takes part, encoded once."""
     used = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    used = used.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.size("embedding").alias("dim"))
-    return used.mapInArrow(_coded(bits, seed), "vec_id long, embedding array<double>, dim int, code binary, norm double, align double")
+    # single precision stays: it is half the size and the same numbers
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    used = used.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.size("embedding").alias("dim"))
+    return checkpointed(used.mapInArrow(_coded(bits, seed), f"vec_id long, embedding array<{kind}>, dim int, code binary, norm double, align double"))
 
 
 def _cell(k: int, bits: int, seed: int, epsilon: float):
@@ -99,7 +111,7 @@ def _cell(k: int, bits: int, seed: int, epsilon: float):
             for at in range(0, len(q), 256):
                 about, error = estimates(a[at : at + 256], codes, norm, align, bits, seed, epsilon)
                 for i in range(len(about)):
-                    low, high = about[i] - error[i], about[i] + error[i]
+                    low, high = about[i] - error, about[i] + error
                     low[ids == qids[at + i]] = -np.inf
                     floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
                     some = np.flatnonzero((high >= floor) & (ids != qids[at + i]))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, mix, read
+from .common import U64, Words, chunks, column, mix, read, schema
 
 BITS = 18
 #: Slots count 1, over this power of their number.
@@ -123,15 +123,15 @@ def train(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN, bits:
     """docs(doc_id, text, ...), ratings(doc_id, grade: 0 and up): fits on at most max_train rated documents.
 
     Rated doc_ids are chosen by a hash, so the sample is the same at any partitioning; a doc_id with several ratings
-    counts with its lowest. The sample of ids is bounded, so it may be broadcast; what the driver gathers is the slots
-    of its documents, a few kB each.
+    counts with its lowest, one with several texts with the one of the least slots. The sample of ids is bounded, so it
+    may be broadcast; what the driver gathers is the slots of one document for each, a few kB each.
     """
     ratings = ratings.where("doc_id IS NOT NULL AND grade >= 0").groupBy("doc_id").agg(F.min("grade").cast("long").alias("grade"))
     share = max_train / max(1, ratings.count())
     point = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(43)), F.lit(1 << 30)) / float(1 << 30)
     sample = ratings.where(point < share).orderBy(point).limit(max_train)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
-    got = rows.mapInArrow(_slots(bits), "doc_id long, grade long, slots binary").toArrow()
+    got = rows.mapInArrow(_slots(bits), schema(sample, ["doc_id", "grade"], slots="binary")).groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).toArrow()
     got = got.take(pc.sort_indices(got, [("doc_id", "ascending"), ("slots", "ascending")])) if got.num_rows else got
     sizes = np.array([len(x.as_buffer()) // 4 for x in got.column("slots")], np.int64)
     slot = np.frombuffer(b"".join(x.as_buffer() for x in got.column("slots")), np.uint32).astype(np.int32)
@@ -159,8 +159,9 @@ def grade(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("text", "expected_grade", "p_best")]
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*rest, "text"])
-    return docs.select(*rest, "text").mapInArrow(_graded(shared, bits), f"{ddl}, expected_grade double, p_best double")
+    rows = docs.select(F.struct(*map(column, rest)).alias("carried"), "text")
+    graded = rows.mapInArrow(_graded(shared, bits), schema(rows, ["carried", "text"], expected_grade="double", p_best="double"))
+    return graded.select(*(F.col("carried").getField(c).alias(c) for c in rest), "text", "expected_grade", "p_best")
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
@@ -176,4 +177,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, ratings: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """docs whose probability of the best grade is keep_from at least; all columns stay. Without ratings all stay."""
-    return grade(docs, train(docs, ratings)).where(F.col("p_best") >= keep_from).select(*docs.columns)
+    # under names of their own, should docs have columns like the new ones
+    rest = [c for c in docs.columns if c != "text"]
+    graded = grade(docs.select(F.struct(*map(column, rest)).alias("kept"), "text"), train(docs, ratings)).where(F.col("p_best") >= keep_from)
+    return graded.select(*(F.col("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns))

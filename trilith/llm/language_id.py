@@ -8,19 +8,20 @@ presence rows is scored by one matrix product.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, crc32_mod4_is_2, read
 
 WIDTH, SPECTRUM, LANDMARKS, RIDGE = 1 << 15, 3, 256, 1e-3
-#: Bounds of what the driver learns from: rows in all, and languages (the most frequent).
-MAX_TRAIN, MAX_LANGUAGES = 2400, 256
+#: Bounds of what the driver learns from: rows in all, shared out among the languages, but so many for each at least.
+MAX_TRAIN, LEAST_EACH = 2400, 8
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes of other scripts count, in lower case; all else is a space.
@@ -66,11 +67,14 @@ def _unit(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def fit(bits: np.ndarray, labels: list[str], width: int = WIDTH, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on the Nyström map of packed presence rows, one language against the rest."""
+    """Kernel ridge regression on the Nyström map of packed presence rows, one language against the rest.
+
+    There are two landmarks for each language at least: fewer than languages could not tell all of them apart.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((width, 0), np.float32))
-    pick = np.sort(np.random.default_rng(7).permutation(len(bits))[:landmarks])
+    pick = np.sort(np.random.default_rng(7).permutation(len(bits))[: max(landmarks, 2 * len(languages))])
     z = _unit(bits[pick], width).astype(np.float32)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     ok = values > 1e-6 * values[-1]
@@ -93,20 +97,24 @@ def _rows(width: int, spectrum: int):
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, width: int = WIDTH, spectrum: int = SPECTRUM) -> Model:
-    """labelled(doc_id, text, lang): fits on about max_train rows, as many of each language as there are or its share.
+    """labelled(doc_id, text, lang): fits on max_train rows at most, or LEAST_EACH for every language if that is more.
 
-    Rows are chosen by a hash of doc_id, the same at any partitioning. What reaches the driver is bounded: at most
-    2 * max_train bitmaps of width / 8 bytes, and counts of MAX_LANGUAGES languages.
+    Each language has the same share, or all its rows where it has fewer. Rows are chosen by a hash of doc_id and text,
+    the same at any partitioning; texts of equal presence count once. What reaches the driver is bounded by that: bitmaps
+    of width / 8 bytes, and a cut for each language.
     """
-    labelled = labelled.where("lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    point = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(41))
+    labelled = labelled.where("lang IS NOT NULL").select("lang", F.coalesce("text", F.lit("")).alias("text"), point.alias("point"))
+    n_languages = labelled.select("lang").distinct().count()
+    each = max(LEAST_EACH, max_train // max(1, n_languages))
+    # tasks keep the least points of each language before the shuffle
+    first = labelled.select("lang", "point").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("point"))).where(F.col("rank") <= each)
+    cuts = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("point").alias("cut")).collect()}
+    if not cuts:
         return fit(np.zeros((0, width // 8), np.uint8), [], width)
-    each = max_train / len(counts)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))))
-    point = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(point < F.try_element_at(share, F.col("lang"))).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    got = sample.mapInArrow(_rows(width, spectrum), "lang string, bits binary").limit(2 * max_train).collect()
+    cut = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
+    sample = labelled.where(F.col("point") <= F.try_element_at(cut, F.col("lang"))).select("lang", "text")
+    got = sample.mapInArrow(_rows(width, spectrum), "lang string, bits binary").distinct().collect()
     got.sort(key=lambda r: (r["lang"], r["bits"]))  # arrival order must not matter
     bits = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), width // 8)
     return fit(bits, [r["lang"] for r in got], width)
@@ -135,7 +143,7 @@ def identify(docs: DataFrame, model: Model, width: int = WIDTH, spectrum: int =
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned. Only the text is an input; rows
     that repeat a doc_id stay; other columns are ignored; an empty table gives an empty result. The model goes to the
-    executors whole: 4 bytes for each slot and language, MAX_LANGUAGES at most (32 MB).
+    executors whole: 4 bytes for each slot and language, 128 kB a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

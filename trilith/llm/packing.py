@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, read
+from .common import chunks, read, schema
 
 LENGTH, END_ID = 2048, 1
 
@@ -83,19 +83,28 @@ def _pack(name: str, length: int, end_id: int, with_ids: bool):
     return run
 
 
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """The same rows dealt out by length, so that sequences of a length lie together, and batches of one length need no padding.
+
+    A length that a third of all sequences have is split over tasks by their sizes, and rare lengths share one.
+    """
+    dealt = pieces.sparkSession.sql("SELECT /*+ REBALANCE(length) */ * FROM {pieces}", pieces=pieces)
+    return dealt.sortWithinPartitions("length", "sequence_id")
+
+
 def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32).
 
     Each document's ids, ended by end_id, are cut into pieces of binary length up to `length` (a power of two), each a
     sequence of its own: sequence_id is unique, offset 0. A null or empty text is the end id alone. Rows that repeat a
-    doc_id are documents of their own; a null doc_id stays null; other columns are ignored; no rows, no pieces. The
-    bucket of a sequence is its length: write partitioned by it for batches without padding.
+    doc_id are documents of their own; a null doc_id stays null; other columns are ignored; no rows, no pieces. Rows come
+    in buckets of equal length.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack(name, length, end_id, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack(name, length, end_id, with_ids), schema(docs, ["doc_id"], start="long", length="long", ids_crc32="long", doc_tokens="long", sequence_id="long", offset="long", ids="binary"))
+    return bucketed(kept if with_ids else kept.drop("ids"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return pack(read(spark, sf_dir, "documents"), with_ids=False)

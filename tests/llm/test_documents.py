@@ -193,6 +193,10 @@ def test_packing(docs, none):
             assert all((s, one[s : s + len(p)]) == (s, p) or len({tuple(x) for x in lists if len(x) == len(one)}) > 1 for s, p in parts), (d, same)
             back[d] += 1
     assert packing.pack(none).count() == 0
+    by_task = {}
+    for r in packing.pack(docs).withColumn("task", F.spark_partition_id()).select("task", "length").collect():
+        by_task.setdefault(r.task, []).append(r.length)
+    assert all(x == sorted(x) for x in by_task.values())
     assert packing.pieces(2048 + 5, 2048) == [2048, 4, 1]
 
 
@@ -243,6 +247,58 @@ def test_terms_anywhere_in_the_document_disclose_an_entity(spark):
     assert clean[0] == f"[TERM], head of item 0\n\n{filler}\n{filler}\nwrite to [EMAIL]\n{filler}\nsigned: [TERM]" and clean[613] == other[-1]
 
 
+def test_disclosing_terms_are_those_of_brute_force(spark):
+    """Every pair of an entity and a term, by the definition: PMI against IC, and a tail bound over all pairs."""
+    import math
+
+    r = random.Random(8)
+    names = ["".join(r.choice("bcdfghjk") for _ in range(6)) for _ in range(12)]
+    common = ["".join(r.choice("aeioulmn") for _ in range(5)) for _ in range(25)]
+    out = []
+    for i in range(260):
+        words = [r.choice(common) for _ in range(r.randint(4, 14))]
+        k = r.randrange(12)
+        if i % 3 == 0:
+            words.insert(r.randrange(len(words)), f"m{k}@x.org")
+            if r.random() < 0.9:
+                words.insert(r.randrange(len(words)), names[k].upper() if r.random() < 0.3 else names[k])
+        elif r.random() < 0.03:
+            words.append(names[k])
+        out.append(" ".join(words))
+    out += out[:20]
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in out]
+    held = [set(re.findall(r"m\d+@x\.org", t)) for t in out]
+    n, entities, vocabulary = len(out), sorted(set().union(*held)), sorted(set().union(*terms))
+    least = math.log2(len(entities) * len(vocabulary) / pii.CHANCE)
+    told = {}
+    for e in entities:
+        df = sum(e in h for h in held)
+        texts = {t for t, h in zip(out, held) if e in h}
+        for t in vocabulary:
+            df_term = sum(t in x for x in terms)
+            c = sum(e in h and t in x for h, x in zip(held, terms))
+            y = sum(t in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", x)} for x in texts)
+            if not c or df == n:
+                continue
+            share, part, bits = df_term / n, y / len(texts), 0.0
+            if part > share:
+                bits = len(texts) * (part * math.log2(part / share) + ((1 - part) * math.log2((1 - part) / (1 - share)) if part < 1 else 0))
+            if math.log2(c * n / (df_term * df)) >= pii.DISCLOSURE * math.log2(n / df) and bits >= least:
+                told.setdefault(e, set()).add(t)
+    want = {i: sorted((m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", out[i]) if m[0].lower() in set().union(*(told.get(e, set()) for e in held[i])) and not any(a.start() < m.end() and m.start() < a.end() for a in re.finditer(r"m\d+@x\.org", out[i]))) for i in range(n)}
+    got = {r.doc_id: sorted((t.start, t.end) for t in r.terms) for r in pii.find(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 40
+
+
+def test_sanitised_rows_keep_their_columns(docs):
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns
+    got = clean.collect()
+    assert len(got) == len(rows()) and {r.key_id for r in got} == {"mine", None} and {r._cuts for r in got} == {"mine", None}
+    assert any("[EMAIL]" in (r.text or "") for r in got)
+
+
 def test_licenses(docs, none):
     def base(t):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -269,6 +325,25 @@ def test_license_rules_suppress_what_a_grant_contains(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == {1: "apache-2.0", 2: "apache-2.0,mit", 3: ""}
 
 
+def test_license_suppression_is_that_of_brute_force(spark):
+    """Of all matches of all rules, those that none of the same or a higher priority contains."""
+    r = random.Random(4)
+    words = "the mit license apache 2 0 licensed under terms of gnu general public v3 gpl or later creative commons attribution share alike copyright 2020 all rights reserved see full bsd 3 clause is proprietary and confidential".split()
+    out = [" ".join(r.choice(words) for _ in range(r.randint(5, 60))) for _ in range(60)] + ["licensed under the terms of the gnu general public license version 3 or later see the full text of the mit license"]
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    table, want = licenses.rules(), {}
+    for i, t in enumerate(out):
+        norm = f" {t} "
+        hits = sorted((m.start(), -m.end(), -rule.priority, k) for k, rule in enumerate(table) for m in re.finditer(f"(?<= )(?:{rule.regex})(?= )", norm))
+        kept = [h for j, h in enumerate(hits) if not any(g[2] <= h[2] and g[0] <= h[0] and g[1] <= h[1] for g in hits[:j])]
+        want[i] = Counter((table[k].label, norm[: a].count(" ") - 1, norm[: -e].count(" ")) for a, e, _, k in kept)
+    got = {i: Counter() for i in range(len(out))}
+    for x in licenses.detections(docs).collect():
+        got[x.doc_id][x.label, x.first_word, x.end_word] += 1
+    assert got == want and sum(map(len, want.values())) > 60
+    assert {x.doc_id: set(filter(None, x.labels.split(","))) for x in licenses.scan(docs).collect()} == {i: {k[0] for k in c} | {label for p, label in licenses.BASE if f" {p} " in f" {out[i]} "} for i, c in want.items()}
+
+
 def sample(parsed, r):
     """A text that a parsed regex matches."""
     out = []
@@ -295,7 +370,7 @@ def test_license_gates_hide_no_alternative(spark, monkeypatch):
     found = {sample(re._parser.parse(p), r) for p in patterns for _ in range(25)}
     told = {
         "Licensed under the AGPLv3": "agpl-3.0", "AGPL 3": "agpl-3.0", "GNU General Public License v2": "gpl-2.0", "GNU General Public License v3.0": "gpl-3.0",
-        "PSF license": "python", "ODC ODbL": "odbl", "All rights are reserved": "reserved", "without warranties of any kind": "disclaimer",
+        "LGPL v2.1": "lgpl-2.1", "MPL 2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "CDDL 1.0": "cddl", "SIL OFL 1.1": "ofl", "PSF license": "python", "ODC ODbL": "odbl", "All rights are reserved": "reserved", "without warranties of any kind": "disclaimer",
     }
     docs = spark.createDataFrame(list(enumerate([*told, *sorted(found)])), "doc_id long, text string")
     gated = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
@@ -362,3 +437,73 @@ def test_quality(spark, docs, none):
     kept = quality.drop_rejected(table.drop("grade"), table.select("doc_id", "grade"))
     assert kept.columns == ["doc_id", "text"] and 150 <= kept.count() <= 260
     assert quality.drop_rejected(docs, table.select("doc_id", "grade").limit(0)).count() == len(rows())
+
+
+def test_quality_is_maximum_likelihood():
+    """The gradient of the penalised likelihood, by differences, is next to nothing at what fit() returns, and every step away is worse."""
+    g = np.random.default_rng(3)
+    n, bits = 240, 5
+    grade = g.integers(0, 3, n)
+    doc, slot = [], []
+    for i in range(n):
+        some = np.unique(np.concatenate([g.integers(0, 32, 5), g.choice([grade[i] * 3, 20], 1)]))
+        doc += [i] * len(some)
+        slot += some.tolist()
+    doc, slot, decay = np.array(doc), np.array(slot), 1e-2
+    model = quality.fit(doc, slot, grade, bits, steps=3000, decay=decay, min_rows=1)
+    scale = np.bincount(doc, minlength=n) ** -quality.DAMPING
+
+    def loss(w, t):
+        score = np.bincount(doc, w[slot], n) * scale
+        above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-(score[:, None] - t[None, :]))), np.zeros((n, 1))], axis=1)
+        return -np.log(above[np.arange(n), grade] - above[np.arange(n), grade + 1]).mean() + decay * (w @ w) / 2
+
+    at, w, t = loss(model.weights, model.thresholds), model.weights, model.thresholds
+    for k in range(len(w) + len(t)):
+        step = np.zeros(len(w) + len(t))
+        step[k] = 1e-4
+        up, down = (loss(w + s * step[: len(w)], t + s * step[len(w) :]) for s in (1, -1))
+        assert abs(up - down) / 2e-4 < 2e-3, k
+        for size in (0.3, -0.3):
+            assert loss(w + size / 1e-4 * step[: len(w)], t + size / 1e-4 * step[len(w) :]) > at or np.any(np.diff(t + size / 1e-4 * step[len(w) :]) <= 0)
+    tails = model.tails(doc, slot, n)
+    assert np.all(np.diff(tails, axis=1) < 0) and np.allclose(tails[:, 0], 1 / (1 + np.exp(-(np.bincount(doc, w[slot], n) * scale - t[0]))))
+
+
+def test_quality_trains_on_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows_ = [(i % 7, f"word{i % 3} text {i}") for i in range(70)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, grade int")
+    seen = {}
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda doc, slot, grade, bits: seen.update(n=len(grade)) or real(doc, slot, grade, bits))
+    quality.train(docs, ratings)
+    assert seen["n"] == 7
+
+
+def test_language_with_all_rows_as_landmarks_is_kernel_ridge_regression():
+    r = random.Random(12)
+    make = {"pp": "abcd", "qq": "cdef", "rr": "efgh"}
+    data = [("".join(r.choice(v + " ") for _ in range(60)).encode(), k) for k, v in make.items() for _ in range(25)]
+    width, ridge = 1 << 10, 1e-2
+    present = np.stack([language_id.presence(t, width) for t, _ in data])
+    unit = present / np.sqrt(present.sum(axis=1))[:, None]
+    kernel = unit @ unit.T
+    labels = np.array([k for _, k in data])
+    target = np.where(labels[:, None] == np.array(sorted(make))[None, :], 1.0, -1.0)
+    dual = np.linalg.solve(kernel + ridge * len(data) * np.eye(len(data)), target)
+    new = np.stack([language_id.presence("".join(r.choice("abcdefgh ") for _ in range(50)).encode(), width) for _ in range(40)])
+    want = (new / np.sqrt(new.sum(axis=1))[:, None]) @ unit.T @ dual
+    model = language_id.fit(np.packbits(present, axis=1), labels.tolist(), width, landmarks=len(data), ridge=ridge)
+    assert model.languages == sorted(make) and np.allclose(model.scores(new), want, atol=2e-3)
+
+
+def test_every_language_is_learned(spark):
+    """300 languages of two rows each, one of which is very frequent."""
+    word = lambda i: "".join(chr(0x4E00 + 7 * i + j) for j in range(6))
+    data = [(i, word(i % 300) + " " + word(i % 300)[:: 1 + i // 300], f"l{i % 300:03d}") for i in range(600)] + [(1000 + i, word(0), "l000") for i in range(3000)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.train(table)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table, model).collect()}
+    assert sum(got[i] == k for i, _, k in data[:600]) >= 550

@@ -153,12 +153,12 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CH
     rows = found.select("key_id", "key_hash", F.explode("_spans").alias("s")).select("key_id", "key_hash", "s.*").withColumn("from", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).where(F.col("end") > F.col("from"))
     cuts = rows.groupBy("key_id", "key_hash").agg(F.array_sort(F.collect_list(F.struct("from", F.greatest("start", "from").alias("start"), "end", "kind"))).alias("_cuts"))
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)))
-    keys = docs.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "key_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keys.join(cuts, ["key_id", "key_hash"], "left")
-    part = F.transform("_cuts", lambda c: F.concat(F.substring(F.col("text"), (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), F.get(labels, c["kind"])))
-    rest = F.substring(F.col("text"), (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length("text"))
-    clean = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(part, ""), rest))
-    return joined.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    keys = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"))
+    joined, text = keys.join(cuts, ["key_id", "key_hash"], "left"), F.col("row").getField("text")
+    part = F.transform("_cuts", lambda c: F.concat(F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), F.get(labels, c["kind"])))
+    rest = F.substring(text, (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length(text))
+    clean = F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(F.array_join(part, ""), rest))
+    return joined.select(*(clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,19 @@ def test_user_functions(db):
     assert rows(db, "SELECT thrice(a) AS a, loud('x') AS b, 'p' || 'q' AS c FROM pairs WHERE a = 4") == [(12, "X?", "p~q")]
 
 
+def test_scoped_functions_casts_folds_languages_and_rules(spark):
+    e = Engine(spark)
+    e.register_objects("spans", [{"a": 2, "b": 5}, {"a": 4, "b": 4}], "a int, b int")
+    e.registry.builder("length", lambda a, b: f"({b} - {a})", schema="span")
+    e.registry.bundle({"fold": {"span_total": ("0", lambda s, a, b: f"{s} + {b} - {a}")}, "cast": {"tenths": lambda x: f"({x} * 10)"}})
+    assert rows(e, "SELECT span.length(s.a, s.b) AS n, s.a::tenths AS t FROM spans s ORDER BY n") == [(0, 40), (3, 20)]
+    assert rows(e, "SELECT span_total(a, b) AS n FROM spans") == [(3,)]
+    e.register_language("upto", lambda e, text, params: e.spark.range(int(text)).toDF("i"))
+    assert rows(e, "SELECT count(*) AS c FROM (LANG upto 4) u, spans s WHERE u.i < s.a") == [(6,)]
+    e.register_rule(lambda df: df.limit(1))
+    assert len(rows(e, "SELECT a FROM spans")) == 1
+
+
 def test_intervals():
     assert interval("1 year 2 months") == "make_interval(1, 2, 0, 0, 0, 0, 0.0)"
     assert interval("3 4:05:06 ago") == "make_interval(0, 0, 0, -3, -4, -5, -6.0)"

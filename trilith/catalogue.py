@@ -121,9 +121,9 @@ sql("set_order", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey
 sql("cte_inline", "WITH t AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT a.k AS k, a.n AS n FROM t a JOIN t b ON a.n = b.n AND a.k <> b.k")
 sql("cte_materialized", "WITH r(k, v) AS MATERIALIZED (SELECT l_suppkey, sum(l_quantity) FROM lineitem GROUP BY l_suppkey) SELECT k AS k, v AS v FROM r WHERE v = (SELECT max(v) FROM r)")
 sql("recursive_cte_all", "WITH RECURSIVE t(n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM t WHERE n < 50) SELECT n AS n, s AS s FROM t")
-sql("recursive_cte_deep", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 1000) SELECT count(*) AS c, sum(n) AS s FROM t", "SELECT 1000 AS c, 500500 AS s")
+sql("recursive_cte_deep", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 1000) SELECT count(*) AS c, sum(n) AS s FROM t", "SELECT 1000::BIGINT AS c, 500500::BIGINT AS s")
 sql("recursive_cte_orders", "WITH RECURSIVE t(k) AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 350000 UNION SELECT o.o_orderkey FROM t, orders o WHERE o.o_orderkey = t.k // 2 AND o.o_orderstatus <> 'P') SELECT k AS k FROM t")
-sql("recursive_cte_shadows", "WITH RECURSIVE big AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 20), region(k) AS (SELECT k FROM big UNION SELECT k // 2 FROM region) SELECT k AS k FROM region", "WITH RECURSIVE big AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 20), t(k) AS (SELECT k FROM big UNION SELECT k // 2 FROM t) SELECT k AS k FROM t")
+sql("recursive_cte_shadows", "WITH RECURSIVE big AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 20), region(k) AS (SELECT k FROM big UNION SELECT k // 2 FROM region) SELECT k AS k FROM region", "WITH RECURSIVE big AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 20), t(k) AS (SELECT k::BIGINT FROM big UNION SELECT k // 2 FROM t) SELECT k AS k FROM t")
 sql("recursive_cte_distinct", "WITH RECURSIVE t(a) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 3 UNION SELECT (a * 7 + 2) % 25 FROM t) SELECT a AS a FROM t")
 # values
 sql("case_expr", "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'big' END AS s, CASE p_type WHEN 'PROMO' THEN 1 ELSE 0 END AS p FROM part")
@@ -354,7 +354,7 @@ sql("cube", "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lin
 sql("grouping_sets", "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 sql("deep_match_struct", "SELECT t.n AS n FROM (SELECT n_name AS n, ROW(n_regionkey AS a, n_nationkey AS b) AS s FROM nation) t WHERE t.s @> ROW(2 AS a)", "SELECT n_name AS n FROM nation WHERE n_regionkey = 2")
 sql("cast_boolean", "SELECT n_nationkey AS k, n_regionkey::boolean AS a, (-n_regionkey) AS b, nullif(n_name, 'NATION_3')::boolean AS c FROM nation", "SELECT n_nationkey AS k, n_regionkey <> 0 AS a, -n_regionkey AS b, n_name <> 'NATION_3' AND n_name IS NOT NULL AS c FROM nation")
-sql("now", "SELECT count(*) AS n FROM nation WHERE now() > '2020-01-01'::date", "SELECT 25 AS n")
+sql("now", "SELECT count(*) AS n FROM nation WHERE now() > '2020-01-01'::date", "SELECT 25::BIGINT AS n")
 sql("interval_parse", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= date.add('1995-01-01'::date, interval('1-2')) AND o_orderdate < date.add('1996-03-01'::date, interval('5 days 12:00:00'))", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-03-06 12:00:00'")
 
 

@@ -28,6 +28,7 @@ class Engine:
         self.graphs: dict[str, Graph] = {}
         self.documents: dict[str, DataFrame] = {}
         self.default_graph: str | None = None
+        self.rules: list[Callable[[DataFrame], DataFrame]] = []
         self.languages: dict[str, Callable[[Engine, str, dict[str, Any]], DataFrame]] = {}
         # recursion goes as deep as the data, not as Spark's defaults
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
@@ -62,6 +63,10 @@ class Engine:
         """A further language for query() and LANG blocks."""
         self.languages[name.lower()] = compile
 
+    def register_rule(self, rule: Callable[[DataFrame], DataFrame]) -> None:
+        """What is done to every result before it is returned, in the order of registration: hints, another partitioning, a rewritten plan."""
+        self.rules.append(rule)
+
     def register_xml(self, name: str, documents: DataFrame) -> None:
         """documents(doc, xml); $name stands for all of them in XQuery. They are parsed once, into a table in the shared folder."""
         nodes = checkpointed(node_table(documents))
@@ -70,6 +75,12 @@ class Engine:
 
     def query(self, text: str, lang: str = "sql", params: dict[str, Any] | None = None) -> DataFrame:
         """The result of the last of the statements."""
+        out = self.evaluate(text, lang, params)
+        for rule in self.rules:
+            out = rule(out)
+        return out
+
+    def evaluate(self, text: str, lang: str, params: dict[str, Any] | None) -> DataFrame:
         m = re.match(r"\s*LANG\s+(\w+)\b", text, re.I)
         if m:
             lang, text = m[1].lower(), re.sub(r"\s*LANG\s+EXIT\s*;?\s*$", "", text[m.end() :], flags=re.I)
@@ -115,7 +126,7 @@ class Engine:
                 inner = Cypher(self, text, params)
                 out = inner.text()
                 return f"({out})", inner.vars, bool(inner.free)
-            df = self.query(text, language, params)
+            df = self.evaluate(text, language, params)
             return self.view(df, f"lang_{language}"), df.columns, False
 
         return resolve

@@ -260,7 +260,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, range_cha
     release(spark)
 
     may = rows.where("tokens IS NOT NULL")
-    classes = checkpointed(may.groupBy("n", "s1", "s2").agg(F.min(F.struct("key_id", "key_hash")).alias("least"), F.first("tokens").alias("tokens")).withColumn("class", F.xxhash64("n", "s1", "s2")).select("class", "n", "s1", "s2", F.col("least.key_id").alias("least_id"), "tokens"))
+    # numbers that no two classes share; they hold as what is read from here on is the checkpoint
+    classes = checkpointed(may.groupBy("n", "s1", "s2").agg(F.min(F.struct("key_id", "key_hash")).alias("least"), F.first("tokens").alias("tokens")).withColumn("class", F.monotonically_increasing_id()).select("class", "n", "s1", "s2", F.col("least.key_id").alias("least_id"), "tokens"))
     index = checkpointed(classes.select("class", "n", "tokens").mapInArrow(_index(percent), "h long, class long, n long, alone long, pos long"))
     often = index.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct((F.col("alone") / F.col("n")).alias("r"), "class", "n", "alone", "pos")).alias("lead")).where("m > 1")
     index = checkpointed(index.join(often, "h"))
@@ -308,9 +309,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, one_row
     """
     rows = checkpointed(jaccard_components(docs, k, percent).where("group IS NOT NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), "key_hash", "group"))
     release(docs.sparkSession)
-    stays = rows.groupBy("group").agg(F.min(F.struct("key_id", "key_hash")).alias("stays"))
-    joined = rows.join(stays, "group").where(F.struct("key_id", "key_hash") != F.col("stays")).select("key_id", "key_hash").distinct()
-    goes = checkpointed(joined)
+    # a document is in one group, so those that stay are looked up by their own keys: a large group is no hot key
+    stays = rows.groupBy("group").agg(F.min(F.struct("key_id", "key_hash")).alias("stays")).select("stays.*")
+    goes = checkpointed(rows.select("key_id", "key_hash").distinct().join(stays, ["key_id", "key_hash"], "left_anti"))
     goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"))
     key = ["key_id", "key_hash"]

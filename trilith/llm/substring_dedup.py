@@ -307,20 +307,10 @@ class Repeats:
         if length < 2:
             raise ValueError("length must be at least 2")
         self.ranges = partitions_for(total_chars(docs), range_chars)
-        seed = seed or max(1, length * 4 // 7)
         keyed = with_key(docs.select("doc_id", "text")).select("key_id", "key_hash", "text")
-        dealt = keyed.repartition(self.ranges, "key_id", "key_hash")  # both joins below read the texts from this one exchange
-
-        def exchange(frame: DataFrame, deal) -> DataFrame:
-            found = frame.mapInArrow(deal, BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
-            return found.groupBy("chunk").applyInArrow(_places, PLACES_DDL).dropDuplicates(["key_id", "key_hash"])
-
-        seeds = exchange(keyed, _deal_seeds(length, seed, self.ranges))
-        seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "text")
-        edges = exchange(seeded, _deal_edges(length, seed, self.ranges, bits))
-        found = dealt.join(edges, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "forks", "text")
         #: a row for each row of docs that has any
-        self.paths = checkpointed(found.mapInArrow(_paths(length), PATHS_DDL))
+        self.paths = self.found(keyed, length, seed or max(1, length * 4 // 7), bits)
+        # nothing refers to those exchanges any more
         release(docs.sparkSession)
         self.digests = self.paths.mapInArrow(_digests, DIGESTS_DDL)
         once = checkpointed(self.paths.mapInArrow(_deal_digests(self.ranges), BLOCK_DDL).groupBy("bucket").applyInArrow(_single, BLOCK_DDL))
@@ -328,7 +318,7 @@ class Repeats:
         self.single: DataFrame | None = None
         if not once.isEmpty():
             suspect = self.digests.join(once.mapInArrow(_one_by_one, "digest binary"), "digest").select("key_id", "key_hash")
-            each = lambda rows, seen: dealt.join(rows, ["key_id", "key_hash"]).select("key_id", "key_hash", "paths", "text").mapInArrow(_each_window(length, bits, seen), WINDOWS_DDL)
+            each = lambda rows, seen: keyed.join(rows, ["key_id", "key_hash"]).select("key_id", "key_hash", "paths", "text").mapInArrow(_each_window(length, bits, seen), WINDOWS_DDL)
             whole = self.paths.dropDuplicates(["key_id", "key_hash"])
             suspects = checkpointed(each(whole.join(suspect.distinct(), ["key_id", "key_hash"], "left_semi"), None))
             seen = bytes(suspects.select(F.bitmap_construct_agg("bit")).first()[0])
@@ -336,6 +326,19 @@ class Repeats:
             single = suspects.join(counts, "digest").groupBy("key_id", "key_hash").agg(F.collect_set("window").alias("single"))
             self.single = checkpointed(single)
 
+    def found(self, keyed: DataFrame, length: int, seed: int, bits: int) -> DataFrame:
+        dealt = keyed.repartition(self.ranges, "key_id", "key_hash")  # both joins below read the texts from this one exchange
+
+        def exchange(frame: DataFrame, deal) -> DataFrame:
+            counted = frame.mapInArrow(deal, BLOCK_DDL).groupBy("bucket").applyInArrow(_count, BLOCK_DDL)
+            return counted.groupBy("chunk").applyInArrow(_places, PLACES_DDL).dropDuplicates(["key_id", "key_hash"])
+
+        seeds = exchange(keyed, _deal_seeds(length, seed, self.ranges))
+        seeded = dealt.join(seeds, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "text")
+        edges = exchange(seeded, _deal_edges(length, seed, self.ranges, bits))
+        joined = dealt.join(edges, ["key_id", "key_hash"]).select("key_id", "key_hash", "places", "forks", "text")
+        return checkpointed(joined.mapInArrow(_paths(length), PATHS_DDL))
+
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

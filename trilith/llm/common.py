@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,10 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
 
-    It acts when the driver collects garbage, which on a quiet driver comes long after the disks are full.
+    It acts when the driver collects garbage, which on a quiet driver comes long after the disks are full. What Python lets
+    go of is unbound on the other side a moment later, so a first round alone frees little.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions_for(total: int, each: int, least: int = 16) -> int:

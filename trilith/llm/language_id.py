@@ -105,15 +105,16 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, width: int = WIDTH, s
     """
     point = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(41))
     labelled = labelled.where("lang IS NOT NULL").select("lang", F.coalesce("text", F.lit("")).alias("text"), point.alias("point"))
-    n_languages = labelled.select("lang").distinct().count()
-    each = max(LEAST_EACH, max_train // max(1, n_languages))
-    # tasks keep the least points of each language before the shuffle
-    first = labelled.select("lang", "point").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("point"))).where(F.col("rank") <= each)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    each = max(LEAST_EACH, max_train // max(1, len(counts)))
+    # about twice as many of a language as are wanted pass by their points alone, however frequent it is
+    near = {lang: -(1 << 63) + int((1 << 64) * min(1.0, 2 * each / n)) - 1 for lang, n in counts.items()}
+    of = lambda cuts: F.try_element_at(F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>"), F.col("lang"))
+    first = labelled.select("lang", "point").where(F.col("point") <= of(near)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("point"))).where(F.col("rank") <= each)
     cuts = {r["lang"]: r["cut"] for r in first.groupBy("lang").agg(F.max("point").alias("cut")).collect()}
     if not cuts:
         return fit(np.zeros((0, width // 8), np.uint8), [], width)
-    cut = F.from_json(F.lit(json.dumps(cuts)), "map<string,bigint>")
-    sample = labelled.where(F.col("point") <= F.try_element_at(cut, F.col("lang"))).select("lang", "text")
+    sample = labelled.where(F.col("point") <= of(cuts)).select("lang", "text")
     got = sample.mapInArrow(_rows(width, spectrum), "lang string, bits binary").distinct().collect()
     got.sort(key=lambda r: (r["lang"], r["bits"]))  # arrival order must not matter
     bits = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), width // 8)

@@ -67,3 +67,10 @@ def test_writes_are_refused_and_parameters_bind(db):
     assert [r.n for r in db.query("MATCH (p {name: $port}) RETURN p.name AS n", "cypher", {"port": "Turku"}).collect()] == ["Turku"]
     assert [tuple(r) for r in db.query("LANG cypher MATCH (c:Ship {size: 45}) RETURN c.name AS n LANG EXIT").collect()] == [("Xebec",)]
     assert [tuple(r) for r in db.query("SELECT count(*) AS k FROM (LANG cypher MATCH (p:Port) RETURN p.name AS n) t WHERE t.n <> 'Kiel'").collect()] == [(3,)]
+
+
+def test_limit_of_a_correlated_block_keeps_its_order(db):
+    text = "SELECT b.port AS p, t.s AS s FROM berths b, (LANG cypher MATCH (s:Ship)-[:CALLS]->(p:Port) WHERE p.name = b.port RETURN s.name AS s ORDER BY s.size LIMIT 1) t"
+    df = db.query(text)
+    assert [tuple(r) for r in df.collect()] == [("Riga", "Xebec")]
+    assert "ASC NULLS LAST" in df._jdf.queryExecution().optimizedPlan().toString().split("row_number() windowspecdefinition(")[1].split("specifiedwindowframe")[0]

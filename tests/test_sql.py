@@ -129,3 +129,33 @@ def test_intervals():
     assert interval("1-2") == "make_interval(1, 2, 0, 0, 0, 0, 0.0)"
     with pytest.raises(ValueError):
         interval("soon")
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "SELECT kind AS k FROM trees WHERE grove = g.gname ORDER BY height DESC, tid DESC LIMIT 1",
+        "SELECT trees.kind AS k FROM trees WHERE grove = g.gname ORDER BY trees.height + 0 DESC, tid DESC LIMIT 1",
+        "SELECT max(kind) AS k FROM trees WHERE grove = g.gname GROUP BY tid HAVING count(*) > 0 ORDER BY max(height) DESC, tid DESC LIMIT 1",
+        "SELECT DISTINCT ON (tid) kind AS k FROM trees WHERE grove = g.gname ORDER BY height DESC, tid DESC LIMIT 1",
+    ],
+)
+def test_limit_of_each_outer_row_keeps_its_order(db, inner):
+    text = f"SELECT g.gname AS g, t.k AS k FROM groves g JOIN LATERAL ({inner}) t ON TRUE ORDER BY g"
+    assert rows(db, text) == [("north", "oak"), ("south", "yew")]
+    plan = db.query(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "DESC NULLS FIRST" in plan.split("row_number() windowspecdefinition(grove")[1].split("specifiedwindowframe")[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        # an alias comes before a column of its name; the last ORDER BY of a set operation is the whole's
+        ("SELECT g.gname AS g, t.height AS h FROM groves g, LATERAL (SELECT 0 - tid AS height FROM trees WHERE grove = g.gname ORDER BY height LIMIT 1) t ORDER BY g", [("north", -11), ("south", -13)]),
+        ("SELECT g.gname AS g, t.tid AS t FROM groves g, LATERAL (SELECT * FROM trees WHERE grove = g.gname ORDER BY height, kind LIMIT 1 OFFSET 1) t ORDER BY g", [("north", 10), ("south", 13)]),
+        ("SELECT g.gname AS g, (SELECT kind FROM trees WHERE grove = g.gname ORDER BY height, tid DESC LIMIT 1) AS k FROM groves g ORDER BY g", [("north", "elm"), ("south", "yew"), ("valley", None)]),
+        ("SELECT t.a AS a FROM (SELECT a AS a FROM pairs UNION ALL SELECT p AS a FROM picks ORDER BY a DESC LIMIT 3) t ORDER BY a", [(6,), (8,), (10,)]),
+    ],
+)
+def test_limits_within(db, text, want):
+    assert rows(db, text) == want

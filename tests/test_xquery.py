@@ -4,6 +4,7 @@ import pytest
 
 from trilith.engine import Engine
 from trilith.plans.lexer import QueryError
+from trilith.sources import xml
 from trilith.sources.xml import nodes_of
 
 GARDEN = (
@@ -98,3 +99,53 @@ def test_errors_and_parameters(db):
 def test_documents_are_parsed_once(db):
     plan = db.query("for $b in $plot//bed return ($b/../@x, $b/ancestor::garden/@no, count($b/following-sibling::bed))", "xquery")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+AREAS = "for $b in $plot//bed group by $large := $b/@area > 10 return "
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (AREAS + "count($b) || ' ' || count($b/@no) || ' ' || exists($b) || ' ' || empty($b/@deep)", ["1 1 true true", "2 2 true true"]),
+        (AREAS + "sum($b/@area) || ' ' || avg($b/@area) || ' ' || min($b/@area) || ' ' || max($b/@no)", ["8 8 8 n1", "34 17 13 n3"]),
+        (AREAS + "(if ($b) then 'some' else 'none')", ["some", "some"]),
+        ("for $b in $plot//bed let $w := $b/@area * 2 group by $large := $b/@area > 10 let $all := $b return count($all) || ' ' || sum($w) || ' ' || max($w)", ["1 16 16", "2 68 42"]),
+        ("for $h in $plot//herb let $no := $h/../@no group by $n := $no group by $k := count($h) return $k || ':' || count($h)", ["1:2", "2:2"]),
+    ],
+)
+def test_groups_are_aggregated_without_being_gathered(db, text, want):
+    df = db.query(text, "xquery")
+    assert [r.value for r in df.collect()] == want
+    if AREAS in text:
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nothing_counts_as_nothing_in_a_group(db):
+    text = "for $b in $plot//bed for $h allowing empty in $b/herb[2] group by $no := $b/@no return $no || ':' || count($h) || ':' || count($h/text())"
+    assert [r.value for r in db.query(text, "xquery").collect()] == ["n1:1:1", "n2:0:0", "n3:0:0"]
+
+
+def test_steps_from_any_depth(spark):
+    e = Engine(spark)
+    e.register_xml("nest", spark.createDataFrame([("d", "<a><a x='5'><b>m</b><b y='6'>n</b></a><b>o</b></a>")], "doc string, xml string"))
+    want = {"$nest//a//b/text()": ["m", "n", "o"], "$nest//b[1]/text()": ["m", "o"], "$nest//b[@y = 6]/text()": ["n"], "$nest//a/@x": ["5"], "$nest//@y": ["6"], "$nest//a/b[last()]/text()": ["n", "o"]}
+    assert {q: [r.value for r in e.query(q, "xquery").collect()] for q in want} == want
+    plan = e.query("for $b in $nest//b return $b/@y", "xquery")._jdf.queryExecution().optimizedPlan().toString()
+    # one for the step, one with the row that for starts from
+    assert plan.count("Join") == 2 and "first(xml" not in plan
+
+
+def test_small_documents_share_a_frame(monkeypatch):
+    import pandas as pd
+
+    texts = [f"<p n='{i}'>t<q/></p>" for i in range(30)]
+    batches = [pd.DataFrame({"doc": [str(i) for i in part], "xml": [texts[i] for i in part]}) for part in (range(20), range(20, 30))]
+    want = [r for i, t in enumerate(texts) for r in nodes_of(str(i), t)]
+    rows = lambda found: [tuple(None if x != x else x for x in r) for f in found for r in f.itertuples(index=False)]
+    found = list(xml.frames(iter(batches)))
+    assert len(found) == 1 and rows(found) == want
+    monkeypatch.setattr(xml, "FRAME_ROWS", 9)
+    found = list(xml.frames(iter(batches)))
+    assert len(found) == 10 and rows(found) == want
+    assert list(xml.frames(iter([]))) == []

@@ -12,6 +12,7 @@ from typing import TYPE_CHECKING, Any, NamedTuple
 
 from pyspark.sql import DataFrame
 
+from ..sources.xml import COLUMNS
 from .lexer import QueryError, block_end
 from .sql import literal, name
 
@@ -23,10 +24,14 @@ AXES = ("child", "descendant", "attribute", "self", "descendant-or-self", "follo
 
 
 class Seq(NamedTuple):
-    """Spark SQL of an array, and what its items are: nodes, num, str, bool or xml (serialised new nodes)."""
+    """Spark SQL of an array, and what its items are: nodes, num, str, bool or xml (serialised new nodes).
+
+    over: for what a group gathers, the group's number and the part of each of its rows.
+    """
 
     sql: str
     kind: str
+    over: tuple[int, Any] | None = None
 
 
 class Step(NamedTuple):
@@ -50,6 +55,8 @@ class XQuery:
         self.ordered: list[str] = []
         self.ways: list[str] = []
         self.outer_order: list[tuple[str, str]] = []
+        #: Aggregates that are wanted of each group, by their SQL; their columns stand for marks in the text of the rows.
+        self.groups: list[dict[str, str]] = []
 
     # scanning
 
@@ -103,6 +110,8 @@ class XQuery:
         self.space()
         if self.i < len(self.text) and self.text[self.i :].strip(" ;\n"):
             raise QueryError(f"unexpected {self.text[self.i : self.i + 20]!r}")
+        for g in range(len(self.groups)):
+            out = out.replace(self.mark(g), "".join(f", {x} AS {c}" for x, c in self.groups[g].items()))
         return self.engine.spark.sql(out)
 
     def top(self) -> str:
@@ -172,7 +181,7 @@ class XQuery:
         return c
 
     def bind(self, v: str, value: Any) -> None:
-        self.scope[v] = value if isinstance(value, Path) else Seq(self.column(self.items(value).sql), self.items(value).kind)
+        self.scope[v] = value if isinstance(value, Path) else self.items(value)._replace(sql=self.column(self.items(value).sql))
 
     def for_(self) -> None:
         v = self.variable()
@@ -221,21 +230,56 @@ class XQuery:
             if not self.take(","):
                 break
         rest = {v: s for v, s in self.scope.items() if v not in [k for k, _, _ in keys] and isinstance(s, Seq)}
-        # of grouped nodes only attributes and values can be taken from here on
         order = ", ".join(self.document_order()) or "1"
         by = "CASE WHEN a.o < b.o THEN -1 WHEN a.o > b.o THEN 1 ELSE 0 END"
 
         def gathered(v: str, s: Seq) -> str:
-            return f"transform(array_sort(collect_list(struct(struct({order}) AS o, {s.sql} AS v)), (a, b) -> {by}), x -> x.v) AS {name('g_' + v)}"
+            return f"transform(filter(array_sort(collect_list(struct(struct({order}) AS o, {s.sql} AS v)), (a, b) -> {by}), x -> x.v IS NOT NULL), x -> x.v) AS {name('g_' + v)}"
 
+        # what is gathered but not used Spark drops: then aggregates alone are left
+        g = len(self.groups)
+        self.groups.append({})
         cols = ", ".join([*(c for _, c, _ in keys), *(gathered(v, s) for v, s in rest.items())])
-        self.rows = f"SELECT {cols} FROM ({self.rows}) GROUP BY {', '.join(c for _, c, _ in keys)}"
+        self.rows = f"SELECT {cols}{self.mark(g)} FROM ({self.rows}) GROUP BY {', '.join(c for _, c, _ in keys)}"
         for v, s in rest.items():
-            self.scope[v] = Seq(name("g_" + v), "nodes") if s.kind == "node" else Seq(f"flatten({name('g_' + v)})", s.kind)
+            self.scope[v] = Seq(name("g_" + v), "nodes", (g, s)) if s.kind == "node" else Seq(f"flatten({name('g_' + v)})", s.kind, (g, s))
         for v, c, kind in keys:
             self.scope[v] = Seq(f"array({c})", kind)
         self.ordered, self.ways = [c for _, c, _ in keys], ["ASC"] * len(keys)
 
+    @staticmethod
+    def mark(g: int) -> str:
+        return f"/*group {g}*/"
+
+    def of_group(self, g: int, x: str) -> str:
+        """The column of an aggregate over a group's rows."""
+        return self.groups[g].setdefault(x, f"__a{g}_{len(self.groups[g])}")
+
+    def counted(self, x: Any) -> str:
+        """How many items, without gathering what a group has."""
+        s = x if isinstance(x, Seq) and x.kind == "node" else self.items(x)
+        if s.over:
+            return self.of_group(s.over[0], f"cast(sum({self.counted(s.over[1])}) AS INT)")
+        return f"if({s.sql}.pre IS NULL, 0, 1)" if s.kind == "node" else f"size({s.sql})"
+
+    def over_group(self, fn: str, s: Seq) -> Seq:
+        """sum, avg, min or max of what a group has, from those of its rows."""
+        g, part = s.over
+        part = self.atomic(part if part.kind != "node" else Seq(f"filter(array({part.sql}), x -> x IS NOT NULL)", "nodes"))
+        if part.over:
+            part = part._replace(over=None)
+        n = self.numbers(part)
+        if fn in ("sum", "avg"):
+            each = f"aggregate({n}, 0D, (x, y) -> x + y)"
+            total = self.of_group(g, f"CASE WHEN count({each}) = count(1) THEN sum({each}) END")
+            return Seq(f"array({total})", "num") if fn == "sum" else Seq(f"filter(array(try_divide({total}, {self.counted(s)})), x -> x IS NOT NULL)", "num")
+        best = self.of_group(g, f"{fn}(array_{fn}({n}))")
+        if part.kind != "num":
+            text = self.strings(part)
+            words = self.of_group(g, f"{fn}(array_{fn}({text}))")
+            best = f"CASE WHEN {self.of_group(g, f'bool_or(exists({text}, x -> try_cast(x AS DOUBLE) IS NULL))')} THEN {words} ELSE {self.text_of(best, 'num')} END"
+        return Seq(f"filter(array({best}), x -> x IS NOT NULL)", "num" if part.kind == "num" else "str")
+
     def order(self) -> None:
         self.ordered, self.ways = [], []
         while True:
@@ -259,7 +303,7 @@ class XQuery:
 
     def atomic(self, x: Any) -> Seq:
         s = self.items(x)
-        return Seq(f"transform({s.sql}, x -> x.value)", "str") if s.kind == "nodes" else s
+        return Seq(f"transform({s.sql}, x -> x.value)", "str", s.over) if s.kind == "nodes" else s
 
     def numbers(self, x: Any) -> str:
         s = self.atomic(x)
@@ -278,7 +322,7 @@ class XQuery:
         if s.kind == "bool":
             return f"coalesce(get({s.sql}, 0), FALSE)"
         if s.kind in ("nodes", "xml"):
-            return f"(size({s.sql}) > 0)"
+            return f"({self.counted(s)} > 0)"
         test = "<> 0" if s.kind == "num" else "<> ''"
         return f"coalesce(get({s.sql}, 0) {test}, FALSE)"
 
@@ -483,8 +527,12 @@ class XQuery:
         steps: list[Step] = []
         while True:
             if self.take("//"):
-                steps.append(Step("descendant-or-self", "node()", []))
-                steps.append(self.step())
+                step = self.step()
+                if step.axis == "child" and all(how == "cond" for how, _ in step.predicates):
+                    # the same nodes, without a row for every node on the way
+                    steps.append(step._replace(axis="descendant"))
+                else:
+                    steps += [Step("descendant-or-self", "node()", []), step]
             elif self.at("/"):
                 self.take("/")
                 steps.append(self.step())
@@ -501,22 +549,37 @@ class XQuery:
         if head.kind != "nodes":
             raise QueryError("a path needs nodes to start from")
         if len(steps) == 1 and steps[0].axis == "attribute" and steps[0].test != "*":
-            return Seq(f"filter(transform({head.sql}, x -> x.attrs[{literal(steps[0].test)}]), x -> x IS NOT NULL)", "str")
+            return self.attribute(head, steps[0].test)
         return self.from_sequence(head, steps)
 
+    def attribute(self, s: Seq, key: str) -> Seq:
+        """An attribute of each node, of a group's from its rows."""
+        if s.kind == "node":
+            return Seq(f"filter(array({s.sql}.attrs[{literal(key)}]), x -> x IS NOT NULL)", "str")
+        return Seq(f"filter(transform({s.sql}, x -> x.attrs[{literal(key)}]), x -> x IS NOT NULL)", "str", s.over and (s.over[0], self.attribute(s.over[1], key)))
+
     def from_sequence(self, s: Seq, steps: list[Step]) -> Seq:
         """A path from each node of a sequence: one join for all rows, then each row gathers what its nodes lead to."""
         attribute = steps[-1].axis == "attribute"
         seq, c = self.column(s.sql), self.fresh()
         row = self.column("monotonically_increasing_id()")
         each = f"SELECT r, x FROM (SELECT struct(*) AS r FROM ({self.rows})) LATERAL VIEW OUTER explode(r.{seq}) __t AS x"
-        start = f"SELECT DISTINCT struct(x.doc AS doc, x.pre AS pre) AS o, struct(x.doc AS doc, x.pre AS pre, x.post AS post, x.parent AS parent, map_entries(x.attrs) AS attrs) AS c FROM ({each}) WHERE x IS NOT NULL"
-        start = f"SELECT o, struct(c.doc AS doc, c.pre AS pre, c.post AS post, c.parent AS parent, map_from_entries(c.attrs) AS attrs) AS c FROM ({start})"
+        start = self.origins("x", f"SELECT x FROM ({each}) WHERE x IS NOT NULL", steps)
         item, value = ("struct(doc AS d, pre AS p, v AS v)", "x.v") if attribute else ("struct(n.doc AS d, n.pre AS p, to_json(n) AS v)", f"from_json(x.v, '{self.ddl()}')")
         lists = f"SELECT o, collect_list({item}) AS l FROM ({self.steps_from(start, steps, self.every_document())}) GROUP BY o"
         self.rows = f"SELECT r.*, {c} FROM (SELECT first(e.r) AS r, transform(array_sort(array_distinct(flatten(collect_list(q.l)))), x -> {value}) AS {c} FROM ({each}) AS e LEFT JOIN ({lists}) AS q ON q.o.doc = e.x.doc AND q.o.pre = e.x.pre GROUP BY e.r.{row})"
         return Seq(c, "str" if attribute else "nodes")
 
+    @staticmethod
+    def origins(x: str, rows: str, steps: list[Step]) -> str:
+        """Where paths of the nodes in a column start, each node once; attributes only for a step that takes them."""
+        fields = [f"{x}.{k} AS {k}" for k in ("doc", "pre", "post", "parent")]
+        start = "SELECT DISTINCT struct({0}.doc AS doc, {0}.pre AS pre) AS o, struct({1}) AS c FROM ({2})"
+        if steps[0].axis != "attribute":
+            return start.format(x, ", ".join(fields), rows)
+        start = start.format(x, ", ".join([*fields, f"map_entries({x}.attrs) AS attrs"]), rows)
+        return f"SELECT o, struct(c.doc AS doc, c.pre AS pre, c.post AS post, c.parent AS parent, map_from_entries(c.attrs) AS attrs) AS c FROM ({start})"
+
     def every_document(self) -> str:
         return f"({' UNION ALL '.join(f'SELECT * FROM `{d}__xml`' for d in self.engine.documents)})"
 
@@ -632,8 +695,9 @@ class XQuery:
                     over = "PARTITION BY o, c.doc, c.pre"
                     rows = f"SELECT *, row_number() OVER ({over} ORDER BY n.pre{' DESC' * back}) AS pos, count(1) OVER ({over}) AS last FROM ({rows})"
                 rows = f"SELECT o, c, n FROM ({rows}) WHERE {test}"
-            # a node that several contexts reach counts once
-            rows = f"SELECT o, first(n) AS c FROM ({rows}) GROUP BY o, n.doc, n.pre"
+            # a node that several contexts reach counts once; column by column, so that Spark drops those that nothing reads
+            rest = ", ".join(f"first(n.{k}) AS {k}" for k in COLUMNS[2:])
+            rows = f"SELECT o, struct(n.doc AS doc, n.pre AS pre, {rest}) AS c FROM ({rows}) GROUP BY o, n.doc, n.pre"
         return f"SELECT o, c AS n FROM ({rows})"
 
     def view_of(self, head: str) -> str:
@@ -659,11 +723,9 @@ class XQuery:
             self.rows = f"SELECT r.*, coalesce(q.{c}, {self.nothing(attribute)}) AS {c} FROM ({self.rows}) AS r CROSS JOIN (SELECT {value} AS {c} FROM ({found})) AS q"
             return Seq(c, "str" if attribute else "nodes")
         if attribute and len(p.steps) == 1 and p.steps[0].test != "*":
-            x = f"{p.head}.attrs[{literal(p.steps[0].test)}]"
-            return Seq(self.column(f"filter(array({x}), x -> x IS NOT NULL)"), "str")
+            return Seq(self.column(self.attribute(Seq(p.head, "node"), p.steps[0].test).sql), "str")
         view = self.every_document()
-        start = f"SELECT DISTINCT struct({p.head}.doc AS doc, {p.head}.pre AS pre) AS o, struct({p.head}.doc AS doc, {p.head}.pre AS pre, {p.head}.post AS post, {p.head}.parent AS parent, map_entries({p.head}.attrs) AS attrs) AS c FROM ({self.rows})"
-        start = f"SELECT o, struct(c.doc AS doc, c.pre AS pre, c.post AS post, c.parent AS parent, map_from_entries(c.attrs) AS attrs) AS c FROM ({start})"
+        start = self.origins(p.head, self.rows, p.steps)
         found = self.steps_from(start, p.steps, view)
         value = "transform(sort_array(collect_list(struct(doc, pre, v))), x -> x.v)" if attribute else "transform(sort_array(collect_list(struct(n.doc AS d, n.pre AS p, to_json(n) AS v))), x -> from_json(x.v, '{}'))".format(self.ddl())
         self.rows = f"SELECT r.*, coalesce(q.{c}, {self.nothing(attribute)}) AS {c} FROM ({self.rows}) AS r LEFT JOIN (SELECT o, {value} AS {c} FROM ({found}) GROUP BY o) AS q ON q.o.doc = r.{p.head}.doc AND q.o.pre = r.{p.head}.pre"
@@ -789,9 +851,11 @@ class XQuery:
         if fn == "not":
             return Seq(f"array(NOT {self.truth(a)})", "bool")
         if fn == "count":
-            return Seq(f"array(size({self.items(a).sql}))", "num")
+            return Seq(f"array({self.counted(a)})", "num")
         if fn in ("exists", "empty"):
-            return Seq(f"array(size({self.items(a).sql}) {'>' if fn == 'exists' else '='} 0)", "bool")
+            return Seq(f"array({self.counted(a)} {'>' if fn == 'exists' else '='} 0)", "bool")
+        if fn in ("sum", "avg", "min", "max") and isinstance(a, Seq) and a.over:
+            return self.over_group(fn, a)
         if fn == "data":
             return self.atomic(a)
         if fn == "sum":
